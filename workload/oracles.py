@@ -58,4 +58,5 @@ TRAIN = [*MAPS, "inter"]
 
 
 def with_ctes(names: list[str], body: str) -> str:
+    """``body`` after the named clauses; a body may start with a comma and add its own."""
     return "WITH " + ",\n".join(CTES[n] for n in names) + "\n" + body if names else body
