@@ -46,11 +46,12 @@ def as_doubles(a: Column) -> Column:
     return a.cast("array<double>")
 
 
-def vector_sum(a: Column, dim: int) -> Column:
-    """Element-wise sum of a vector column; combines on the map side."""
+def vector_sum(a: Column, dim: int, weight: Column | None = None) -> Column:
+    """Element-wise (weighted) sum of a vector column; combines on the map side."""
     if dim <= WIDE:
-        return F.array(*[F.sum(F.get(a, F.lit(i))) for i in range(dim)])
-    return vector_to_array(Summarizer.sum(array_to_vector(a)))
+        cells = [F.get(a, F.lit(i)) for i in range(dim)]
+        return F.array(*[F.sum(c if weight is None else c * weight) for c in cells])
+    return vector_to_array(Summarizer.sum(array_to_vector(a if weight is None else scaled(a, weight))))
 
 
 def cosine_score(user_vec: Column, item_vec: Column, temperature: float = 5.0) -> Column:

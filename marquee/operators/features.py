@@ -10,6 +10,7 @@ from marquee.functions import scalars as S
 from marquee.functions import vectors as V
 from marquee.functions.ranking import top_n_per_key
 from marquee.operators.clean import dedup_keep_last
+from marquee.runtime import checkpointed
 
 
 def movies_only(basics: DataFrame) -> DataFrame:
@@ -102,12 +103,15 @@ def text_embed(items: DataFrame, dim: int, text: str = "overview") -> DataFrame:
         .groupBy("movie_idx", (S.hash_draw("slot", F.col("word")) % dim).alias("slot"))
         .agg(F.sum("tf").alias("tf"))
     )
+    tf = checkpointed(tf)  # read for the document frequencies and again for the weights
     n_docs = docs.agg(F.count("*")).scalar()
     df = tf.groupBy("slot").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "slot").select(
-        "movie_idx", "slot", (F.col("tf") * F.log((n_docs + 1.0) / (F.col("df") + 1.0))).alias("w"))
-    norms = weighted.groupBy("movie_idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "movie_idx").where(F.col("norm") > 0).select(
+    weight = F.col("tf") * F.log((n_docs + 1.0) / (F.col("df") + 1.0))
+    per_movie = tf.join(df, "slot").groupBy("movie_idx").agg(  # at most ``dim`` slots each
+        F.collect_list(F.struct("slot", weight.alias("w"))).alias("slots"))
+    norm = F.sqrt(F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + s["w"] * s["w"]))
+    return per_movie.withColumn("norm", norm).where(F.col("norm") > 0).select(
+        "movie_idx", "norm", F.inline("slots")).select(
         "movie_idx", "slot", (F.col("w") / F.col("norm")).alias("weight"))
 
 
@@ -143,9 +147,8 @@ def history_embedding(train: DataFrame, vectors: DataFrame, dim: int) -> DataFra
     scale cancels in the normalisation.
     """
     filled = vectors.where(V.squared_norm(F.col("vec")) > 0)
-    weighted = train.select("user_idx", "movie_idx", "rating").join(filled, "movie_idx").select(
-        "user_idx", V.scaled(F.col("vec"), F.col("rating")).alias("vec"))
-    sums = weighted.groupBy("user_idx").agg(V.vector_sum(F.col("vec"), dim).alias("vec"))
+    rated = train.select("user_idx", "movie_idx", "rating").join(filled, "movie_idx")
+    sums = rated.groupBy("user_idx").agg(V.vector_sum(F.col("vec"), dim, F.col("rating")).alias("vec"))
     weights = train.groupBy("user_idx").agg(F.sum("rating").alias("weight"))
     return weights.join(sums, "user_idx", "left").select(
         "user_idx",
@@ -165,6 +168,5 @@ def recency_history(
         [F.col("timestamp").desc(), F.col("movie_idx").desc()], length)
     total = sum(base ** r for r in range(length)) + 1e-8
     weight = F.pow(F.lit(base), F.col("rank") - 1) / total
-    weighted = newest.join(vectors, "movie_idx").select(
-        "user_idx", V.scaled(F.col("vec"), weight).alias("vec"))
-    return weighted.groupBy("user_idx").agg(V.vector_sum(F.col("vec"), dim).alias("vec"))
+    return newest.join(vectors, "movie_idx").groupBy("user_idx").agg(
+        V.vector_sum(F.col("vec"), dim, weight).alias("vec"))

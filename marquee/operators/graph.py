@@ -43,9 +43,8 @@ def neighbour_sum(edges: DataFrame, emb: DataFrame, dim: int) -> DataFrame:
     The vector sum combines on the map side, so a hub's messages arrive as one partial
     vector per task; a hub as source is split by the skew-join handling.
     """
-    messages = edges.join(emb.select(F.col("node").alias("src"), "vec"), "src").select(
-        "dst", V.scaled(F.col("vec"), F.col("w")).alias("vec"))
-    return messages.groupBy("dst").agg(V.vector_sum(F.col("vec"), dim).alias("vec")).select(
+    messages = edges.join(emb.select(F.col("node").alias("src"), "vec"), "src")
+    return messages.groupBy("dst").agg(V.vector_sum(F.col("vec"), dim, F.col("w")).alias("vec")).select(
         F.col("dst").alias("node"), "vec")
 
 

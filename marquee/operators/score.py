@@ -77,13 +77,14 @@ def top_k_dot(
 
     ``users`` is (user_idx, vec, bias), ``items`` (movie_idx, vec, bias).
     """
-    left = users.select("user_idx", F.col("vec").alias("payload"), F.col("bias"))
-    right = items.select("movie_idx", "vec", "bias")
+    # fresh column names: both sides may come from one node table
+    left = users.select("user_idx", F.col("vec").alias("user_vec"), F.col("bias").alias("user_bias"))
+    right = items.select("movie_idx", F.col("vec").alias("item_vec"), F.col("bias").alias("item_bias"))
 
     def score(users_arrow: pa.Table, items_arrow: pa.Table) -> np.ndarray:
-        p, q = _matrix(users_arrow["payload"]), _matrix(items_arrow["vec"])
-        return (p @ q.T + mean + users_arrow["bias"].to_numpy()[:, None]
-                + items_arrow["bias"].to_numpy()[None, :])
+        p, q = _matrix(users_arrow["user_vec"]), _matrix(items_arrow["item_vec"])
+        return (p @ q.T + mean + users_arrow["user_bias"].to_numpy()[:, None]
+                + items_arrow["item_bias"].to_numpy()[None, :])
 
     return _block_top_k(left, right, seen, k, score, user_block, item_block)
 

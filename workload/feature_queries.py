@@ -415,13 +415,14 @@ def _triplet_sql(positives: str, popularity: str, members: str, n: str, seed: in
         count(*) OVER (PARTITION BY user_idx) AS n_pos FROM (SELECT DISTINCT user_idx, movie_idx FROM {positives})),
     mem AS ({members}),
     users AS (SELECT user_idx, n_pos, row_number() OVER (ORDER BY user_idx) - 1 AS user_no FROM (SELECT DISTINCT user_idx, n_pos FROM pos)),
-    line AS (SELECT movie_idx, sum(n) OVER (ORDER BY movie_idx) - n AS low FROM (SELECT movie_idx, count(*) AS n FROM {popularity} GROUP BY 1)),
-    draws AS (SELECT i AS sample_id, user_idx, {h("'pos'", "i")} % n_pos AS pos_no
-        FROM (SELECT unnest(range({n})) AS i) JOIN users ON user_no = {h("'user'", "i")} % (SELECT count(*) FROM users)),
+    line AS (SELECT movie_idx, row_number() OVER (ORDER BY movie_idx) - 1 AS spot FROM {popularity}),
+    numbers AS (SELECT i AS sample_id, {h("'user'", "i")} % (SELECT count(*) FROM users) AS user_no, {h("'pos'", "i")} AS pos_hash
+        FROM (SELECT unnest(range({n})) AS i)),
+    draws AS (SELECT sample_id, user_idx, pos_hash % n_pos AS pos_no FROM numbers JOIN users USING (user_no)),
     chosen AS (SELECT sample_id, user_idx, movie_idx AS pos_idx FROM draws JOIN pos USING (user_idx, pos_no)),
     tried AS (SELECT sample_id, user_idx, pos_idx, k, {h("'neg'", "sample_id", "k")} % (SELECT count(*) FROM {popularity}) AS spot
         FROM chosen CROSS JOIN (SELECT unnest(range(20)) AS k)),
-    located AS (SELECT tried.*, movie_idx AS neg_idx FROM tried ASOF JOIN line ON spot >= low),
+    located AS (SELECT tried.*, movie_idx AS neg_idx FROM tried JOIN line USING (spot)),
     flagged AS (SELECT l.*, m.user_idx IS NOT NULL AS hit FROM located l LEFT JOIN mem m ON m.user_idx = l.user_idx AND m.movie_idx = l.neg_idx)
     SELECT sample_id, user_idx, pos_idx, coalesce(arg_min(neg_idx, k) FILTER (NOT hit), arg_max(neg_idx, k)) AS neg_idx,
         count(*) FILTER (NOT hit) = 0 AS is_false_negative FROM flagged GROUP BY sample_id, user_idx, pos_idx"""
