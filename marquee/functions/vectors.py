@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
@@ -32,10 +34,15 @@ def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once; a lambda would recompute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """L2-normalised; the zero vector stays zero."""
-    norm = F.sqrt(squared_norm(a))
-    return F.when(norm == 0, a).otherwise(scaled(a, 1.0 / norm))
+    return let(a, lambda v: let(
+        F.sqrt(squared_norm(v)), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def zeros(dim: int) -> Column:

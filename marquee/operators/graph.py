@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +49,15 @@ def neighbour_sum(edges: DataFrame, emb: DataFrame, dim: int) -> DataFrame:
 def propagate(edges: DataFrame, emb: DataFrame, dim: int, layers: int = GCN_LAYERS) -> DataFrame:
     """Mean over layers 0..K of the repeatedly propagated vectors.
 
-    A node that receives nothing in a layer counts as zero there.
+    A node that receives nothing in a layer counts as zero there. The layers are summed as
+    E + Â(E + Â(E + …)): each step reads the one before once, and the base vectors join the
+    messages in the same aggregation.
     """
-    stack = [emb.select("node", "vec")]
+    base = emb.select("node", "vec", F.lit(1.0).alias("w"))
+    total = emb.select("node", "vec")
     for _ in range(layers):
-        stack.append(neighbour_sum(edges, stack[-1], dim))
-    total = reduce(DataFrame.unionByName, stack).groupBy("node").agg(
-        V.vector_sum(F.col("vec"), dim).alias("vec"))
+        source = total.select(F.col("node").alias("src"), "vec")
+        messages = edges.join(source, "src").select(F.col("dst").alias("node"), "vec", "w")
+        total = messages.unionByName(base).groupBy("node").agg(
+            V.vector_sum(F.col("vec"), dim, F.col("w")).alias("vec"))
     return total.select("node", V.scaled(F.col("vec"), F.lit(1.0 / (layers + 1))).alias("vec"))

@@ -131,19 +131,20 @@ def _blocks(df: DataFrame, index: str, width: int) -> int:
 
 
 def _best(user_ids: np.ndarray, item_ids: np.ndarray, scores: np.ndarray, k: int) -> pa.Table:
-    """Best ``k`` per row; every candidate tied with the ``k``-th is considered."""
-    scores = np.where(np.isfinite(scores), scores, -np.inf)
-    rounded = np.round(scores, RANK_DECIMALS)
+    """Best ``k`` per row of a score block whose columns are sorted by movie index.
+
+    Scores equal to the ``k``-th after rounding are taken in movie order until ``k`` is full.
+    """
+    scores[~np.isfinite(scores)] = -np.inf
+    half = 0.5 * 10.0 ** -RANK_DECIMALS
     if scores.shape[1] > k:
-        kth = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
+        kth = np.round(np.partition(scores, -k, axis=1)[:, -k], RANK_DECIMALS)[:, None]
+        above = scores > kth + half
+        tied = (scores >= kth - half) & ~above & np.isfinite(scores)
+        room = k - above.sum(axis=1, dtype=np.int32)
+        rows, cols = np.nonzero(above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room[:, None])))
     else:
-        kth = np.full(len(scores), -np.inf)
-    rows, cols = np.nonzero((rounded >= kth[:, None]) & np.isfinite(scores))
-    order = np.lexsort((item_ids[cols], -rounded[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    position = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = position < k
-    rows, cols = rows[keep], cols[keep]
+        rows, cols = np.nonzero(np.isfinite(scores))
     return _top_table(user_ids[rows], item_ids[cols], scores[rows, cols])
 
 
