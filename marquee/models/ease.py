@@ -19,51 +19,67 @@ from marquee.operators.score import TOP_SCHEMA, _best, _blocks, _ragged, _top_ta
 from marquee.runtime import checkpointed, task_slots
 
 BLOCK = 1024
+ROWS_PER_TASK = 20_000_000
 MATRIX = "bi int, bj int, cells array<double>"
+MATRIX_ROWS = "bi int, bj int, at int, cells array<double>"
 
 
-def ease_gram(train: DataFrame, n_items: int, block: int = BLOCK, binary: bool = False) -> DataFrame:
+def ease_gram(
+    train: DataFrame, n_items: int, block: int = BLOCK, binary: bool = False, rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Upper blocks of XᵀX as (bi, bj, cells), bi ≤ bj, without the ridge.
 
     Every rating travels to the block pairs its movie belongs to. A task streams the rows
     of its pair sorted by user and adds each user's products to one dense block, so a hot
-    user costs as many rows as block pairs, and a hot movie spreads over user slices.
+    user costs as many rows as block pairs. A pair with more rows than a task should take
+    (a hot movie) is cut into slices of users, whose blocks are added up afterwards.
     """
     n_blocks = (n_items - 1) // block + 1
     pairs = n_blocks * (n_blocks + 1) // 2
-    slices = max(1, task_slots(train.sparkSession) // pairs)
+    least_slices = max(1, task_slots(train.sparkSession) // pairs)
+    own = F.floor(F.col("movie_idx") / block).cast("int")
+    sizes = checkpointed(train.groupBy(own.alias("own")).agg(F.count("*").alias("n")))  # one row per block
+    biggest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    sliced = least_slices > 1 or 2 * (biggest or 0) > rows_per_task
+    slices = F.greatest(F.lit(least_slices), F.ceil((F.col("n_own") + F.col("n_other")) / rows_per_task))
+
     value = F.lit(1.0) if binary else F.col("rating_centered")
     rows = (
-        train.select(
-            "user_idx", "movie_idx", value.alias("x"),
-            F.floor(F.col("movie_idx") / block).cast("int").alias("own"),
-            F.pmod(F.xxhash64("user_idx"), F.lit(slices)).cast("int").alias("part"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .select(
-            F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-            "part", "user_idx", "movie_idx", "x")
-    )
+        train.select("user_idx", "movie_idx", value.alias("x"), own.alias("own"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    if sliced:
+        own_size = sizes.select("own", F.col("n").alias("n_own"))
+        other_size = sizes.select(F.col("own").alias("other"), F.col("n").alias("n_other"))
+        sized = rows.join(own_size, "own").join(other_size, "other", "left").fillna(0, ["n_other"])
+        rows = sized.withColumn("part", F.pmod(F.xxhash64("user_idx"), slices).cast("int"))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    rows = rows.select(
+        F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+        "part", "user_idx", "movie_idx", "x")
     keys = ["bi", "bj", "part"]
-    partial = (
-        rows.repartition(pairs * slices, *keys).sortWithinPartitions(*keys, "user_idx")
-        .mapInArrow(_gram_accumulator(block), "bi int, bj int, part int, cells array<double>")
+    tasks = pairs * least_slices + (total or 0) * n_blocks // rows_per_task
+    sums = (
+        rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "user_idx")
+        .mapInArrow(_gram_accumulator(block, sliced), MATRIX_ROWS if sliced else MATRIX)
     )
-    if slices == 1:
-        return partial.drop("part")
-    return partial.groupBy("bi", "bj").applyInArrow(_add_blocks, MATRIX)
+    if not sliced:
+        return sums
+    return sums.groupBy("bi", "bj").applyInArrow(_row_adder(block), MATRIX)
 
 
-def _gram_accumulator(block: int):
+def _gram_accumulator(block: int, as_rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, total, carry = None, None, None
+        open_key, total = None, None
+        finished = _row_batch if as_rows else _block_batch
         for key, users, movies, x in _user_runs(batches):
             if key != open_key:
                 if open_key is not None:
-                    yield _gram_batch(open_key, total)
+                    yield finished(*open_key[:2], total)
                 open_key, total = key, np.zeros((block, block))
             _add_products(total, key, users, movies, x, block)
         if open_key is not None:
-            yield _gram_batch(open_key, total)
+            yield finished(*open_key[:2], total)
 
     return run
 
@@ -112,9 +128,32 @@ def _add_products(total, key, users, movies, x, block):
             flat, weights=xl[part][first] * xr[second], minlength=block * block).reshape(block, block)
 
 
-def _gram_batch(key, total) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k], pa.int32()) for k in key] + [_cells(total)], ["bi", "bj", "part", "cells"])
+def _block_batch(bi: int, bj: int, matrix: np.ndarray) -> pa.RecordBatch:
+    return _block_table(bi, bj, matrix).to_batches()[0]
+
+
+def _row_batch(bi: int, bj: int, matrix: np.ndarray) -> pa.RecordBatch:
+    """A partial block as rows, so that adding many of them streams."""
+    n, width = matrix.shape
+    offsets = np.arange(0, matrix.size + 1, width, dtype=np.int32)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(n, bi), pa.int32()), pa.array(np.full(n, bj), pa.int32()),
+        pa.array(np.arange(n), pa.int32()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel())),
+    ], ["bi", "bj", "at", "cells"])
+
+
+def _row_adder(block: int):
+    def add(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch],
+    ) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((block, block))
+        for batch in batches:
+            rows = batch.column("cells").flatten().to_numpy().reshape(batch.num_rows, block)
+            np.add.at(total, batch.column("at").to_numpy(), rows)
+        yield _block_batch(key[0].as_py(), key[1].as_py(), total)
+
+    return add
 
 
 def _cells(matrix: np.ndarray) -> pa.Array:
@@ -126,11 +165,6 @@ def _block_table(bi: int, bj: int, matrix: np.ndarray) -> pa.Table:
     return pa.table({"bi": pa.array([bi], pa.int32()), "bj": pa.array([bj], pa.int32()), "cells": _cells(matrix)})
 
 
-def _add_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(c.values.to_numpy() for c in table["cells"])
-    return _block_table(key[0].as_py(), key[1].as_py(), total)
-
-
 def gram_cells(gram: DataFrame, n_items: int, reg: float = EASE_REG, block: int = BLOCK) -> DataFrame:
     """XᵀX + λI as non-zero cells (src_idx, dst_idx, value) of both triangles."""
     cell = F.posexplode("cells").alias("at", "value")

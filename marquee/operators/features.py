@@ -98,11 +98,8 @@ def text_embed(items: DataFrame, dim: int, text: str = "overview") -> DataFrame:
     docs = items.where(S.has_text(F.col(text)))
     words = docs.select(
         "movie_idx", F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))).alias("word"))
-    tf = (
-        words.groupBy("movie_idx", "word").agg(F.count("*").alias("tf"))
-        .groupBy("movie_idx", (S.hash_draw("slot", F.col("word")) % dim).alias("slot"))
-        .agg(F.sum("tf").alias("tf"))
-    )
+    slot = (S.hash_draw("slot", F.col("word")) % dim).alias("slot")
+    tf = words.groupBy("movie_idx", slot).agg(F.count("*").alias("tf"))
     tf = checkpointed(tf)  # read for the document frequencies and again for the weights
     n_docs = docs.agg(F.count("*")).scalar()
     df = tf.groupBy("slot").agg(F.count("*").alias("df"))
