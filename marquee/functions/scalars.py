@@ -38,13 +38,9 @@ def primary_genre(genres: Column, vocab) -> Column:
 
 
 def epoch_parts(ts: Column) -> dict[str, Column]:
-    """Date, year and first day of the month of unix seconds (UTC session time zone)."""
-    stamp = F.timestamp_seconds(ts)
-    return {
-        "date": stamp.cast("date"),
-        "year": F.year(stamp),
-        "month": F.trunc(stamp.cast("date"), "month"),
-    }
+    """UTC date, year and first day of the month of unix seconds, in any session time zone."""
+    date = F.date_from_unix_date(F.floor(ts / 86_400).cast("int"))
+    return {"date": date, "year": F.year(date), "month": F.trunc(date, "month")}
 
 
 def parse_year(date_text: Column) -> Column:

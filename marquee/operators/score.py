@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marquee.config import TOP_KS
 from marquee.functions import vectors as V
-from marquee.functions.ranking import top_n_per_key
+from marquee.functions.ranking import rank_within, top_n_per_key
 
 RANK_DECIMALS = 9  # ties are decided on scores rounded this far, so float noise cannot reorder
 USER_BLOCK = 2048
@@ -55,18 +55,17 @@ def top_k(scores: DataFrame, k: int = max(TOP_KS)) -> DataFrame:
     return top_n_per_key(finite, "user_idx", order, k)
 
 
-def item_rank(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+def item_rank(scores: DataFrame, pairs: DataFrame, bucket_width: float = 1.0) -> DataFrame:
     """1-based position of the given pairs in the user's full ranking.
 
-    The position is one plus the number of better movies, so it comes from a count over
-    the user's scores against the few wanted pairs rather than from sorting them all.
+    Scores are ranked in slices ``bucket_width`` wide, so a long list spreads over tasks.
     """
-    wanted = pairs.join(scores, ["user_idx", "movie_idx"]).select(
-        "user_idx", F.col("movie_idx").alias("target"), F.round("score", RANK_DECIMALS).alias("_t"))
-    rounded = F.round("score", RANK_DECIMALS)
-    better = (rounded > F.col("_t")) | ((rounded == F.col("_t")) & (F.col("movie_idx") < F.col("target")))
-    return wanted.join(scores, "user_idx").groupBy("user_idx", "target").agg(
-        (F.count_if(better) + 1).alias("rank")).withColumnRenamed("target", "movie_idx")
+    falling = -F.round("score", RANK_DECIMALS)
+    ranked = rank_within(
+        scores.select("user_idx", "movie_idx", "score"), "user_idx", [falling, F.col("movie_idx")],
+        F.floor(falling / bucket_width), "rank", "_n")
+    wanted = pairs.select("user_idx", "movie_idx")
+    return ranked.join(wanted, ["user_idx", "movie_idx"], "left_semi").select("user_idx", "movie_idx", "rank")
 
 
 def top_k_dot(

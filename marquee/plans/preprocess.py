@@ -24,13 +24,18 @@ class Preprocessed:
         return self.interactions.where(F.col("split") == split).drop("split")
 
 
-def preprocess(
-    raw: DataFrame, order: list[str],
+def preprocess(raw: DataFrame, order: list[str], **options) -> Preprocessed:
+    """Everything from the raw log on; ``options`` are those of :func:`prepare_interactions`."""
+    return prepare_interactions(staged(clean.clean_ratings(raw, order), "clean"), **options)
+
+
+def prepare_interactions(
+    ratings: DataFrame,
     min_user: int = config.MIN_USER_RATINGS, min_item: int = config.MIN_ITEM_RATINGS,
     train_ratio: float = config.TRAIN_RATIO, val_ratio: float = config.VAL_RATIO,
     cold_threshold: int = config.COLD_THRESHOLD,
 ) -> Preprocessed:
-    ratings = staged(clean.clean_ratings(raw, order), "clean")
+    """``ratings`` is clean and stored: the k-core rounds scan it repeatedly."""
     core = prepare.kcore_filter(ratings, min_user, min_item)
     split = staged(prepare.temporal_split(core, train_ratio, val_ratio), "split")
     user_map = staged(prepare.build_id_map(split, "user_id", "user_idx"), "user_map")

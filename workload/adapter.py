@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions import scalars as S
 from marquee.functions import vectors as V
-from marquee.operators import clean, features, prepare
+from marquee.operators import clean, features
+from marquee.plans.preprocess import Preprocessed, prepare_interactions
 from marquee.runtime import staged
 from marquee.sources.readers import typed_links, typed_tmdb
 
@@ -35,8 +36,10 @@ class Tables:
 
     @staticmethod
     def seconds(column: str):
-        """Unix seconds of a timestamp without time zone."""
-        return F.unix_timestamp(F.col(column).cast("timestamp"))
+        """Unix seconds of a timestamp without time zone, in any session time zone."""
+        stamp = F.col(column)
+        day = F.unix_date(stamp.cast("date")).cast("bigint") * 86_400
+        return day + F.hour(stamp) * 3_600 + F.minute(stamp) * 60 + F.second(stamp)
 
     # -- inputs -----------------------------------------------------------------
 
@@ -110,26 +113,20 @@ class Tables:
         return staged(clean.clean_ratings(self.raw_ratings(), RATING_ORDER), "ratings")
 
     @cached_property
-    def _split(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        core = prepare.kcore_filter(self.ratings)
-        split = staged(prepare.temporal_split(core), "split")
-        users = staged(prepare.build_id_map(split, "user_id", "user_idx"), "user_map")
-        movies = staged(prepare.build_id_map(split, "movie_id", "movie_idx"), "movie_map")
-        indexed = prepare.apply_id_map(split, users, movies)
-        centred = prepare.mean_center(indexed, indexed.where(F.col("split") == "train"))
-        return users, movies, staged(centred, "interactions")
+    def prepared(self) -> Preprocessed:
+        return prepare_interactions(self.ratings)
 
     @property
     def user_map(self) -> DataFrame:
-        return self._split[0]
+        return self.prepared.user_map
 
     @property
     def movie_map(self) -> DataFrame:
-        return self._split[1]
+        return self.prepared.movie_map
 
     @property
     def interactions(self) -> DataFrame:
-        return self._split[2]
+        return self.prepared.interactions
 
     def part_of(self, split: str) -> DataFrame:
         return self.interactions.where(F.col("split") == split).drop("split")

@@ -324,7 +324,6 @@ def _(t: Tables):
     return ranking_eval.candidate_guard(popularity_top(t))
 
 
-CTES["pop_only"] = eval_ctes("pop_top", "Popularity", "pop")
 PER_USER = [*POP, "truth", "pop_report"]
 
 

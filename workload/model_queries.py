@@ -12,11 +12,12 @@ from marquee.operators.sampling import TripletSampler
 from marquee.plans import evaluate as evaluate_plan
 from marquee.plans import train as train_plan
 from marquee.plans.feature_engineering import build_features
-from marquee.plans.preprocess import Preprocessed, stats_row
 from marquee.runtime import checkpoint_root, staged
 from marquee.sources import sinks
 from workload.adapter import TEXT_DIM, VOCAB, Tables
-from workload.feature_queries import CONTENT, HIST, REPORT, _triplet_sql, long, popularity_top, report_of
+from workload.feature_queries import (
+    _VOCAB_SQL, CONTENT, HIST, ITEM_IMDB, REPORT, _triplet_sql, long, popularity_top, report_of,
+)
 from workload.oracles import CTES, MAPS, TRAIN
 from workload.registry import query
 
@@ -34,12 +35,6 @@ def _once(fn):
     return lru_cache(maxsize=None)(fn)
 
 
-def prepared(t: Tables) -> Preprocessed:
-    cold = prepare.cold_users(t.train)
-    return Preprocessed(
-        t.interactions, t.user_map, t.movie_map, cold, stats_row(t.interactions, t.user_map, t.movie_map, cold))
-
-
 @_once
 def popularity(t: Tables):
     return staged(prepare.item_popularity(t.train), "item-popularity")
@@ -327,7 +322,10 @@ def _(t: Tables):
         "movie_idx", F.round("dim0", 6).alias("dim0"), F.round("dim1", 6).alias("dim1"))
 
 
-@query("run_feature_engineering")
+@query("run_feature_engineering", ITEM_IMDB, f"""SELECT movie_idx, {len(VOCAB) + 3} AS n_imdb, 64 AS n_text,
+    coalesce(list_position({_VOCAB_SQL}, gl[1]) - 1, {len(VOCAB)})::INTEGER AS genre_idx,
+    round(ln(1 + coalesce(n, 0)) / (SELECT max(ln(1 + c)) FROM (SELECT count(*) AS c FROM train GROUP BY movie_idx)), 6) AS pop
+    FROM item_imdb LEFT JOIN (SELECT movie_idx, count(*) AS n FROM train GROUP BY 1) USING (movie_idx)""")
 def _(t: Tables):
     feats = feature_tables(t)
     return feats.imdb.select("movie_idx", F.size("vec").alias("n_imdb")).join(
@@ -365,7 +363,7 @@ def _(t: Tables):
     (SELECT count(*) FROM (SELECT user_idx FROM train GROUP BY 1 HAVING count(*) < 20)) AS n_cold""")
 def _(t: Tables):
     path = folder(t, "stats")
-    sinks.write_stats(prepared(t).stats, path)
+    sinks.write_stats(t.prepared.stats, path)
     return t.spark.read.schema(
         "n_users bigint, n_movies bigint, n_train bigint, n_val bigint, n_test bigint, n_cold bigint").json(path)
 
@@ -393,9 +391,23 @@ def _(t: Tables):
     return sinks.read_report(t.spark, path).withColumn("value", F.round("value", 6))
 
 
-@query("train_and_evaluate")
+@_once
+def trained(t: Tables):
+    return train_plan.train_models(
+        t.prepared, feature_tables(t), folder(t, "models"), options=OPTIONS, n_genres=len(VOCAB))
+
+
+@query("train")
+def _(t: Tables):
+    """Training curves of the stored models."""
+    models = trained(t)
+    rows = [
+        (name, epoch + 1, float(value))
+        for name in ("als", "bpr", "lightgcn") for epoch, value in enumerate(getattr(models, name).history)]
+    return t.spark.createDataFrame(rows, "model string, epoch int, loss double")
+
+
+@query("evaluate")
 def _(t: Tables):
-    trained = train_plan.train_models(
-        prepared(t), feature_tables(t), folder(t, "models"), options=OPTIONS, n_genres=len(VOCAB))
-    report = evaluate_plan.evaluate_models(prepared(t), trained, "val", folder(t, "eval"), OPTIONS)
-    return report.withColumn("value", F.round("value", 4))
+    return evaluate_plan.evaluate_models(t.prepared, trained(t), "val", folder(t, "eval"), OPTIONS).withColumn(
+        "value", F.round("value", 4))
