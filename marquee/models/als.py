@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marquee.config import ALS_ITERATIONS, ALS_RANK, ALS_REG, ALS_TOL, SEED
 from marquee.functions import vectors as V
 from marquee.models.factors import FactorModel, random_factors, rmse
-from marquee.runtime import checkpointed
+from marquee.runtime import checkpointed, staged
 
 HOT_ROWS = 1_000_000  # an entity with more ratings is accumulated by several tasks
 
@@ -65,8 +65,8 @@ def als_fit(
 
 def hot_entities(train: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame | None:
     """Entities with more than ``rows`` ratings (at most nnz / rows of them), or None."""
-    hot = checkpointed(
-        train.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(key))
+    hot = staged(
+        train.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(key), "hot")
     return None if hot.isEmpty() else hot
 
 

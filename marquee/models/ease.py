@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marquee.config import EASE_REG, TOP_KS
 from marquee.operators.score import TOP_SCHEMA, _best, _blocks, _ragged, _top_table, top_k
-from marquee.runtime import checkpointed, task_slots
+from marquee.runtime import checkpointed, staged, task_slots
 
 BLOCK = 1024
 ROWS_PER_TASK = 20_000_000
@@ -38,7 +38,7 @@ def ease_gram(
     pairs = n_blocks * (n_blocks + 1) // 2
     least_slices = max(1, task_slots(train.sparkSession) // pairs)
     own = F.floor(F.col("movie_idx") / block).cast("int")
-    sizes = checkpointed(train.groupBy(own.alias("own")).agg(F.count("*").alias("n")))  # one row per block
+    sizes = staged(train.groupBy(own.alias("own")).agg(F.count("*").alias("n")), "block-sizes")
     biggest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     sliced = least_slices > 1 or 2 * (biggest or 0) > rows_per_task
     slices = F.greatest(F.lit(least_slices), F.ceil((F.col("n_own") + F.col("n_other")) / rows_per_task))

@@ -9,7 +9,7 @@ from marquee.config import (
     COLD_THRESHOLD, MIN_ITEM_RATINGS, MIN_SEQUENCE, MIN_USER_RATINGS, TRAIN_RATIO, VAL_RATIO,
 )
 from marquee.functions.ranking import dense_index, rank_within
-from marquee.runtime import checkpointed
+from marquee.runtime import staged
 
 _MONTH_SECONDS = 30 * 86_400
 
@@ -32,9 +32,9 @@ def kcore_filter(
     """Largest subset where every user and every movie keeps enough ratings.
 
     A round drops rare movies, recounts, then drops rare users. Only the dropped keys are
-    kept between rounds (checkpointed): the ratings are never rewritten, and the anti
-    joins see small sides after the first round. ``df`` should be a stored table, since
-    every round scans it.
+    kept between rounds, as stage tables whose known size lets Spark broadcast them while
+    they are small; the ratings are never rewritten. ``df`` should be a stored table,
+    since every round scans it.
     """
     spark = df.sparkSession
     dead = {
@@ -45,10 +45,10 @@ def kcore_filter(
         lost = 0
         for key, k in (("movie_id", min_item), ("user_id", min_user)):
             counts = _alive(df, dead).groupBy(key).agg(F.count("*").alias("_n"))
-            rare = checkpointed(counts.where(F.col("_n") < k))
+            rare = staged(counts.where(F.col("_n") < k), "kcore-rare")
             n_rows = rare.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
             if n_rows:
-                dead[key] = checkpointed(dead[key].unionByName(rare.select(key)))
+                dead[key] = staged(dead[key].unionByName(rare.select(key)), "kcore-dropped")
             if trace is not None:
                 trace.append({"key": key, "rows_dropped": n_rows})
             lost += n_rows

@@ -36,7 +36,7 @@ def prepare_interactions(
     cold_threshold: int = config.COLD_THRESHOLD,
 ) -> Preprocessed:
     """``ratings`` is clean and stored: the k-core rounds scan it repeatedly."""
-    core = prepare.kcore_filter(ratings, min_user, min_item)
+    core = staged(prepare.kcore_filter(ratings, min_user, min_item), "core")
     split = staged(prepare.temporal_split(core, train_ratio, val_ratio), "split")
     user_map = staged(prepare.build_id_map(split, "user_id", "user_idx"), "user_map")
     movie_map = staged(prepare.build_id_map(split, "movie_id", "movie_idx"), "movie_map")

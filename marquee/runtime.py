@@ -35,7 +35,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet stage table in the shared folder and read it back.
 
     Preferred over :func:`checkpointed` for tables that several plans read, because the
-    scan keeps column pruning and filter pushdown.
+    scan keeps column pruning and filter pushdown, and for small key sets, because a file
+    scan has a known size and a checkpoint does not.
     """
     spark = df.sparkSession
     path = "/".join([

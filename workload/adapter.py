@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import scalars as S
 from marquee.functions import vectors as V
-from marquee.operators import clean, features
+from marquee.operators import clean, features, graph
 from marquee.plans.preprocess import Preprocessed, prepare_interactions
 from marquee.runtime import staged
 from marquee.sources.readers import typed_links, typed_tmdb
@@ -165,6 +165,10 @@ class Tables:
     def history(self) -> DataFrame:
         return staged(features.history_embedding(self.train, self.item_vectors, TEXT_DIM), "history")
 
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        return staged(graph.sym_normalise(graph.bipartite_edges(self.train, self.n_users)), "adjacency")
+
 
 _CACHE: dict[tuple[str, str], Tables] = {}
 

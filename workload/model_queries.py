@@ -72,15 +72,10 @@ def ease_weights(t: Tables):
     return staged(ease.ease_fit(gram(t), t.n_items, block=BLOCK), "ease-weights")
 
 
-@_once
-def adjacency(t: Tables):
-    return staged(graph.sym_normalise(graph.bipartite_edges(t.train, t.n_users)), "adjacency")
-
-
 @_once
 def lightgcn_model(t: Tables):
     nodes = t.spark.range(t.n_users + t.n_items).select(F.col("id").cast("int").alias("node"))
-    return pairwise.lightgcn_fit(adjacency(t), nodes, sampler(t), t.n_users, 16, 2, t.train.count(), EPOCHS, 0.05)
+    return pairwise.lightgcn_fit(t.adjacency, nodes, sampler(t), t.n_users, 16, 2, t.train.count(), EPOCHS, 0.05)
 
 
 @_once
@@ -294,7 +289,7 @@ def _(t: Tables):
 def _(t: Tables):
     items = t.item_vectors.select((F.col("movie_idx") + t.n_users).alias("node"), "vec")
     nodes = t.history.select(F.col("user_idx").alias("node"), "vec").unionByName(items)
-    out = staged(graph.propagate(adjacency(t), nodes, TEXT_DIM), "propagated").withColumn("bias", F.lit(0.0))
+    out = staged(graph.propagate(t.adjacency, nodes, TEXT_DIM), "propagated").withColumn("bias", F.lit(0.0))
     users = out.where(F.col("node") < t.n_users).withColumnRenamed("node", "user_idx")
     movies = out.where(F.col("node") >= t.n_users).select((F.col("node") - t.n_users).alias("movie_idx"), "vec", "bias")
     top = score.top_k_dot(users, movies, score.seen_items(t.train))
