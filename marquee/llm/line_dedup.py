@@ -63,7 +63,7 @@ def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     """((key, line_no, n) of all lines with a word, (key, line_no) of the lines to remove)."""
     spark = rows.sparkSession
     rank = _ranks(_tokenised(_lines(rows)))
-    ordered = F.array_sort(F.transform("tokens", lambda t: F.shiftleft(
+    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(
         F.get(rank, _bucket(t)).cast("bigint"), 64 - BITS).bitwiseOR(F.shiftrightunsigned(t, BITS))))
     n = F.size("tokens")
     prefix = F.slice(ordered, 1, (n - F.ceil(F.lit(percent) * n / 100) + 1).cast("int"))
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """
     rows = keyed_texts(docs, id_col, text_col)
     lines, removed = removed_lines(rows, percent)
-    gone = removed.groupBy("key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    gone = removed.groupBy("key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     total = lines.groupBy("key").agg(F.count("*").alias("n_lines"))
     return (rows.select("key", "doc_id").join(total, "key", "left").join(gone, "key", "left")
             .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),

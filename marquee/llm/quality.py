@@ -55,12 +55,12 @@ def judge(docs: DataFrame, text_col: str = "text", keep_percent: int = 50, min_w
             F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))),
     })
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    df = df.withColumn("_sorted", F.when(repeats, F.array_sort(F.transform(
+    df = df.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform(
         "_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     met = F.filter("_sorted", lambda e, i: (
         ((i > 0) & (F.get("_sorted", i - 1)["h"] == e["h"]))
         | F.coalesce(F.get("_sorted", i + 1)["h"] == e["h"], F.lit(False))))
-    at = F.array_sort(F.transform(met, lambda e: e["i"]))
+    at = F.sort_array(F.transform(met, lambda e: e["i"]))
     covered = F.aggregate(
         at, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")),
