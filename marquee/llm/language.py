@@ -23,6 +23,7 @@ BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
 CACHE_WORDS = 400_000
+LEAST_STEPS = 900   # of the optimiser, however few rows are labelled
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -95,6 +96,7 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float = 4.
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, c), np.float32), np.zeros(c, np.float32)
     train = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(train)))
     steps, done = epochs * -(-len(train) // batch), 0
     for _ in range(epochs):
         rng.shuffle(train)
@@ -201,7 +203,7 @@ def labelled_sample(docs: DataFrame, usable: Column, per_label: int, labels: int
             .orderBy(F.xxhash64("text"), "lang").limit(2 * per_label * labels).collect())
 
 
-def train(docs: DataFrame, usable: Column, per_label: int = 700, labels: int = 12,
+def train(docs: DataFrame, usable: Column, per_label: int = 500, labels: int = 12,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample: about ``per_label`` rows for each of at most ``labels`` languages.
 
