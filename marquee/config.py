@@ -18,7 +18,6 @@ ALS_ITERATIONS = 10
 BPR_LR = 1e-3
 BPR_REG = 1e-4
 BPR_EPOCHS = 20
-BPR_SAMPLES = 50_000
 NEGATIVE_TRIES = 20
 VAL_SAMPLES_FLOOR = 10_000
 EASE_REG = 350.0

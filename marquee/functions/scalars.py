@@ -82,13 +82,13 @@ def log_votes(votes: Column) -> Column:
 
 
 def hash_draw(*parts: Column | str | int) -> Column:
-    """Deterministic 32-bit draw from its arguments.
+    """Deterministic 60-bit draw from its arguments.
 
     A keyed hash instead of ``rand()``: retried tasks and other partitionings redraw the
     same numbers.
     """
     texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 15), 16, 10).cast("bigint")
 
 
 def activity_bucket(n: Column, edges) -> Column:

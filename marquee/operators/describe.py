@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marquee.config import ACTIVITY_EDGES, NO_GENRE
 from marquee.functions import scalars as S
 from marquee.functions.ranking import dense_index
+from marquee.runtime import staged
 
 
 def dataset_stats(ratings: DataFrame) -> DataFrame:
@@ -70,13 +71,13 @@ def histogram(
         "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _levels(df: DataFrame, key: str) -> DataFrame:
+def _levels(per_key: DataFrame) -> DataFrame:
     """Keys and rows per support value, with running totals along falling support.
 
     The number of distinct support values is at most the square root of twice the row
     count, which bounds the unpartitioned windows here.
     """
-    levels = support(df, key).groupBy("n").agg(F.count("*").alias("keys"))
+    levels = per_key.groupBy("n").agg(F.count("*").alias("keys"))
     falling = W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy()
     rows = F.col("n") * F.col("keys")
@@ -95,7 +96,7 @@ def top_share(df: DataFrame, key: str, fractions=(0.01, 0.10)) -> DataFrame:
     Works on support levels, so keys are never sorted: the level the cut falls into
     contributes its support times the keys still needed.
     """
-    levels = _levels(df, key)
+    levels = staged(_levels(support(df, key)), "levels")
     out = None
     for fraction in fractions:
         wanted = F.greatest(F.lit(1), F.floor(F.col("n_keys") * F.lit(fraction)))
@@ -111,8 +112,9 @@ def top_share(df: DataFrame, key: str, fractions=(0.01, 0.10)) -> DataFrame:
 
 def lorenz_curve(df: DataFrame, key: str) -> DataFrame:
     """Per key along rising support: percent of keys and percent of rows reached."""
-    ranked = dense_index(support(df, key), [F.col("n"), F.col(key)], "rank", start=1)
-    levels = _levels(df, key).select(
+    per_key = staged(support(df, key), "support")
+    ranked = dense_index(per_key, [F.col("n"), F.col(key)], "rank", start=1)
+    levels = _levels(per_key).select(
         "n", "n_keys", "n_rows",
         (F.col("n_keys") - F.col("keys_above") - F.col("keys")).alias("keys_below"),
         (F.col("n_rows") - F.col("rows_above") - F.col("n") * F.col("keys")).alias("rows_below"),
@@ -128,8 +130,8 @@ def lorenz_curve(df: DataFrame, key: str) -> DataFrame:
 
 def rank_frequency(df: DataFrame, key: str) -> DataFrame:
     """Rank by falling support with a slope -1 reference through the last point."""
-    ranked = dense_index(support(df, key), [F.col("n").desc(), F.col(key)], "rank", start=1)
-    per_key = support(df, key)
+    per_key = staged(support(df, key), "support")
+    ranked = dense_index(per_key, [F.col("n").desc(), F.col(key)], "rank", start=1)
     n_keys = per_key.agg(F.count("*")).scalar()
     last = per_key.agg(F.min("n")).scalar()
     return ranked.select(key, "rank", "n", (last * n_keys / F.col("rank")).alias("reference"))

@@ -10,7 +10,7 @@ from marquee.functions import scalars as S
 from marquee.functions import vectors as V
 from marquee.functions.ranking import top_n_per_key
 from marquee.operators.clean import dedup_keep_last
-from marquee.runtime import checkpointed
+from marquee.runtime import checkpointed, staged
 
 
 def movies_only(basics: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def normalised_imdb(imdb: DataFrame, vocab=GENRES, sep: str = ",") -> DataFrame:
     The vote fallback is the median over all films and the vote-count scale their largest
     log count; both are scalar subqueries over the metadata.
     """
+    imdb = staged(imdb, "imdb")
     median_vote = imdb.agg(F.median("averageRating")).scalar()
     most_votes = imdb.agg(F.max(S.log_votes(F.col("numVotes")))).scalar()
     return imdb.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ class TrainOptions:
     als_iterations: int = config.ALS_ITERATIONS
     als_reg: float = config.ALS_REG
     epochs: int = config.BPR_EPOCHS
-    samples: int = config.BPR_SAMPLES
+    samples: int | None = None  # triplets per epoch; as many as training positives unless given
     lr: float = config.BPR_LR
     ease_reg: float = config.EASE_REG
     ease_block: int = ease.BLOCK
@@ -56,6 +56,8 @@ def train_models(
     train, out = prep.part_of("train"), Trained()
     spark = train.sparkSession
     n_users, n_items = prep.user_map.count(), prep.movie_map.count()
+    if options.samples is None:
+        options = replace(options, samples=positives(train).count())
     popularity = staged(prepare.item_popularity(train), "item-popularity")
 
     if "als" in chosen:

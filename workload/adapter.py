@@ -7,6 +7,7 @@ share are written once per session and input folder.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from marquee.functions import scalars as S
 from marquee.functions import vectors as V
 from marquee.operators import clean, features, graph
 from marquee.plans.preprocess import Preprocessed, prepare_interactions
-from marquee.runtime import staged
+from marquee.runtime import checkpoint_root, staged
 from marquee.sources.readers import typed_links, typed_tmdb
 
 RATING_ORDER = ["timestamp", "l_orderkey", "l_linenumber", "l_suppkey"]
@@ -54,7 +55,7 @@ class Tables:
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
         return lines.join(orders, "l_orderkey")
 
-    def links(self) -> DataFrame:
+    def raw_links(self) -> DataFrame:
         """Text ids with gaps: no metadata id at size 13, text id 0 at size 7, junk at size 9."""
         size = F.col("p_size")
         raw = self.table("part").select(
@@ -63,7 +64,16 @@ class Tables:
             F.when(size == 7, "0").when(size == 9, "n/a").when(size == 11, None)
             .otherwise(F.col("p_partkey").cast("string")).alias("tmdbId"),
         )
-        return typed_links(raw)
+        return raw
+
+    def links(self) -> DataFrame:
+        return typed_links(self.raw_links())
+
+    def file(self, raw: DataFrame, name: str, **options) -> str:
+        """``raw`` written as delimited text with a header, as the readers expect it."""
+        path = f"{checkpoint_root(self.spark).rstrip('/')}/marquee/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        raw.write.csv(path, header=True, **options)
+        return path
 
     def raw_basics(self) -> DataFrame:
         size = F.col("p_size")
@@ -92,7 +102,7 @@ class Tables:
             F.col("p_partkey").alias("movie_id"), F.col("p_name").alias("title"),
             F.replace(F.col("p_name"), F.lit(" "), F.lit("|")).alias("genres"))
 
-    def tmdb(self) -> DataFrame:
+    def raw_tmdb(self) -> DataFrame:
         """Documents as synopses; junk ids for one source, bad dates for one language."""
         raw = self.table("documents").select(
             F.when(F.col("source") == "src3", "junk").otherwise(F.col("doc_id").cast("string")).alias("id"),
@@ -104,7 +114,10 @@ class Tables:
             F.lit(None).cast("string").alias("vote_average"),
             F.col("n_chars").cast("string").alias("vote_count"),
         )
-        return typed_tmdb(raw)
+        return raw
+
+    def tmdb(self) -> DataFrame:
+        return typed_tmdb(self.raw_tmdb())
 
     # -- stage tables -----------------------------------------------------------
 

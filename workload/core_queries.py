@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marquee.functions import scalars as S
 from marquee.operators import clean, describe, prepare
 from marquee.plans.preprocess import preprocess
+from marquee.sources import readers
 from workload.adapter import RATING_ORDER, Tables
 from workload.oracles import CORE, CTES, MAPS, RATINGS, SPLIT, TRAIN, _core
 from workload.registry import query
@@ -31,6 +32,7 @@ CTES["tmdb"] = """tmdb AS (SELECT doc_id AS tmdb_id, source AS title,
 CTES["movies"] = "movies AS (SELECT p_partkey AS movie_id, p_name AS title, replace(p_name, ' ', '|') AS genres FROM part)"
 CTES["imdb"] = """imdb AS (SELECT b.tconst, TRY_CAST("runtimeMinutes" AS DOUBLE) AS runtime, TRY_CAST("startYear" AS DOUBLE) AS year,
         genres, "averageRating", "numVotes" FROM basics b LEFT JOIN votes v USING (tconst) WHERE "titleType" = 'movie')"""
+TSV = {"sep": "\t", "nullValue": "\\N", "quote": ""}
 LINKS, IMDB = ["links"], ["basics", "votes", "imdb"]
 
 
@@ -39,32 +41,38 @@ LINKS, IMDB = ["links"], ["basics", "votes", "imdb"]
 
 @query("read_links", LINKS, "SELECT movie_id, imdb_id, tmdb_id FROM links")
 def _(t: Tables):
-    return t.links()
+    return readers.read_links(t.spark, t.file(t.raw_links(), "links", quote='"', escape='"'))
 
 
 @query("read_imdb_basics", ["basics"], "SELECT * FROM basics")
 def _(t: Tables):
-    return t.raw_basics()
+    full = t.raw_basics().select(
+        "tconst", "titleType", F.lit('a "stray quote').alias("primaryTitle"), F.lit(None).cast("string").alias("originalTitle"),
+        F.lit("0").alias("isAdult"), "startYear", F.lit(None).cast("string").alias("endYear"), "runtimeMinutes", "genres")
+    return readers.read_imdb_basics(t.spark, t.file(full, "basics", **TSV))
 
 
 @query("read_imdb_ratings", ["votes"], 'SELECT tconst, round("averageRating", 6) AS "averageRating", "numVotes" FROM votes')
 def _(t: Tables):
-    return t.votes().withColumn("averageRating", F.round("averageRating", 6))
+    votes = readers.read_imdb_ratings(t.spark, t.file(t.votes(), "votes", **TSV))
+    return votes.withColumn("averageRating", F.round("averageRating", 6))
 
 
 @query("read_tmdb", ["tmdb"], "SELECT * FROM tmdb")
 def _(t: Tables):
-    return t.tmdb()
+    return readers.read_tmdb(t.spark, t.file(t.raw_tmdb(), "tmdb", quote='"', escape='"'))
 
 
-@query("read_movies", ["movies"], "SELECT * FROM movies")
+@query("read_movies", ["movies"], "SELECT movie_id::INTEGER AS movie_id, title, genres FROM movies")
 def _(t: Tables):
-    return t.movies()
+    return readers.read_movies(t.spark, t.file(t.movies().withColumnRenamed("movie_id", "movieId"), "movies", quote='"', escape='"'))
 
 
-@query("read_ratings", ["raw"], """SELECT user_key AS user_id, movie_id, rating::DOUBLE AS rating, ts AS "timestamp" FROM raw""")
+@query("read_ratings", ["raw"], """SELECT user_key::INTEGER AS user_id, movie_id::INTEGER AS movie_id, rating::DOUBLE AS rating, ts AS "timestamp" FROM raw""")
 def _(t: Tables):
-    return t.raw_ratings().select("user_id", "movie_id", "rating", "timestamp")
+    raw = t.raw_ratings().select(
+        F.col("user_id").alias("userId"), F.col("movie_id").alias("movieId"), "rating", "timestamp")
+    return readers.read_ratings(t.spark, t.file(raw, "ratings", quote='"', escape='"'))
 
 
 @query("preview", RATINGS, 'SELECT * FROM ratings ORDER BY "timestamp", user_id, movie_id LIMIT 10')

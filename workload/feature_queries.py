@@ -177,7 +177,7 @@ def _(t: Tables):
 
 
 @query("text_embed", ITEM_TEXT, """, words AS (SELECT movie_idx, unnest(regexp_extract_all(lower(overview), '[\\p{L}\\p{N}]+')) AS word FROM item_text WHERE overview IS NOT NULL),
-    tf AS (SELECT movie_idx, ('0x' || substr(md5('slot:' || word), 1, 8))::BIGINT % 384 AS slot, count(*) AS tf FROM words GROUP BY ALL),
+    tf AS (SELECT movie_idx, ('0x' || substr(md5('slot:' || word), 1, 15))::BIGINT % 384 AS slot, count(*) AS tf FROM words GROUP BY ALL),
     weighted AS (SELECT movie_idx, slot, tf * ln(((SELECT count(overview) FROM item_text) + 1) / (df + 1.0::DOUBLE)) AS w
         FROM tf JOIN (SELECT slot, count(*) AS df FROM tf GROUP BY 1) USING (slot)),
     normed AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY movie_idx)) AS nn FROM weighted)
@@ -407,7 +407,7 @@ def _(t: Tables):
 
 def _triplet_sql(positives: str, popularity: str, members: str, n: str, seed: int) -> str:
     def h(*parts):
-        return "('0x' || substr(md5(concat_ws(':', '" + str(seed) + "', " + ", ".join(parts) + ")), 1, 8))::BIGINT"
+        return "('0x' || substr(md5(concat_ws(':', '" + str(seed) + "', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
     return f""", pos AS (SELECT user_idx, movie_idx, row_number() OVER (PARTITION BY user_idx ORDER BY movie_idx) - 1 AS pos_no,
         count(*) OVER (PARTITION BY user_idx) AS n_pos FROM (SELECT DISTINCT user_idx, movie_idx FROM {positives})),
     mem AS ({members}),

@@ -23,7 +23,7 @@ from workload.registry import query
 
 RANK, EPOCHS, BLOCK = 16, 3, 512
 OPTIONS = train_plan.TrainOptions(
-    rank=RANK, als_iterations=3, epochs=EPOCHS, samples=20_000, lr=0.05, ease_block=BLOCK, gcn_dim=16)
+    rank=RANK, als_iterations=3, epochs=EPOCHS, lr=0.05, ease_block=BLOCK, gcn_dim=16)
 
 
 def folder(t: Tables, name: str) -> str:
@@ -224,17 +224,20 @@ def snapped(column: str):
     return F.floor(F.col(column) * 10000 + F.lit(0.3)) / 10000
 
 
-@query("ease_gram", [*TRAIN, "gram"], f"SELECT src_idx, dst_idx, {SNAP_SQL.format('value')} AS value FROM gram WHERE abs(value) > 0.00003")
+NOISE = 1e-9  # what is left of sums that cancel; no real cell is so small
+
+
+@query("ease_gram", [*TRAIN, "gram"], f"SELECT src_idx, dst_idx, {SNAP_SQL.format('value')} AS value FROM gram WHERE abs(value) > {NOISE:.9f}")
 def _(t: Tables):
     cells = ease.gram_cells(gram(t), t.n_items, block=BLOCK)
-    return cells.where(F.abs("value") > 0.00003).withColumn("value", snapped("value"))
+    return cells.where(F.abs("value") > NOISE).withColumn("value", snapped("value"))
 
 
-@query("ease_score", [*TRAIN, "gram"], """SELECT user_idx, dst_idx AS movie_idx, floor(sum(rating_centered * value / 350) * 10000 + 0.3) / 10000 AS score
-    FROM train JOIN gram ON src_idx = movie_idx WHERE abs(value) > 4.03 AND src_idx <> dst_idx GROUP BY ALL""")
+@query("ease_score", [*TRAIN, "gram"], f"""SELECT user_idx, dst_idx AS movie_idx, floor(sum(rating_centered * value / 350) * 10000 + 0.3) / 10000 AS score
+    FROM train JOIN gram ON src_idx = movie_idx WHERE src_idx <> dst_idx AND abs(value) > {NOISE:.9f} GROUP BY ALL""")
 def _(t: Tables):
     cells = ease.gram_cells(gram(t), t.n_items, 0.0, BLOCK)
-    strong = cells.where((F.abs("value") > 4.03) & (F.col("src_idx") != F.col("dst_idx"))).select(
+    strong = cells.where((F.col("src_idx") != F.col("dst_idx")) & (F.abs("value") > NOISE)).select(
         "src_idx", "dst_idx", (F.col("value") / 350.0).alias("w"))
     return ease.ease_score(t.train, strong).withColumn("score", snapped("score"))
 
