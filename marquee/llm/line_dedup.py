@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.ids import keyed_texts
-from marquee.llm.quality import split_words
+from marquee.llm.quality import SPACE, split_words
 from marquee.runtime import staged
 
 WORDS = 5
@@ -30,24 +30,41 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _tokens(words: Column) -> Column:
-    """Distinct hashes of the five-word shingles; of all words where there are fewer."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (WORDS - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WORDS))))
+def _words(line: Column) -> Column:
+    """Lower-cased words; lines whose only blanks are spaces, nearly all, are split without a pattern."""
+    low, other = F.lower(line), F.lit(False)
+    for blank in "\t\x0b\x0c\r":
+        other |= line.contains(blank)
+    return F.when(other, split_words(low)).otherwise(F.array_remove(F.split(low, " "), ""))
+
+
+def _starts(words: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - WORDS, F.lit(0)))
+
+
+def _shingle(words: Column, start: Column) -> Column:
+    """Hash of the five words from ``start``; of all words where there are fewer (a null adds nothing)."""
+    return F.xxhash64(*[F.get(words, start + i) for i in range(WORDS)])
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    # the filter looks at the line, so that it does not split it a second time
+    return lines.where(F.col("line").rlike(f"[^{SPACE}]")).withColumn("words", _words(F.col("line")))
 
 
 def _tokenised(lines: DataFrame) -> DataFrame:
-    return (lines.withColumn("words", split_words(F.lower("line"))).where(F.size("words") > 0)
-            .withColumn("tokens", _tokens(F.col("words"))))
+    words = F.col("words")
+    return _worded(lines).withColumn("tokens", F.array_distinct(F.transform(_starts(words), lambda i: _shingle(words, i))))
 
 
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _ranks(tokenised: DataFrame) -> Column:
+def _ranks(lines: DataFrame) -> Column:
     """The rarity rank of each of the 16,384 buckets, as a constant array."""
-    counts = (tokenised.select(F.explode(F.transform("tokens", _bucket)).alias("bucket")).groupBy("bucket").count())
+    at = _worded(lines).select("words", F.explode(_starts(F.col("words"))).alias("start"))
+    counts = at.select(_bucket(_shingle(F.col("words"), F.col("start"))).alias("bucket")).groupBy("bucket").count()
     n = {r.bucket: r["count"] for r in counts.collect()}  # one row per bucket at most
     rank = [0] * BUCKETS
     for i, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
@@ -62,9 +79,9 @@ def _need(a, b, percent: int) -> Column:
 def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """((key, line_no, n) of all lines with a word, (key, line_no) of the lines to remove)."""
     spark = rows.sparkSession
-    rank = _ranks(_tokenised(_lines(rows)))
-    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(
-        F.get(rank, _bucket(t)).cast("bigint"), 64 - BITS).bitwiseOR(F.shiftrightunsigned(t, BITS))))
+    rank = _ranks(_lines(rows))
+    ranked = lambda t: F.coalesce(F.get(rank, _bucket(t)), F.lit(0)).cast("bigint")  # noqa: E731  (never null: sorts as longs)
+    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(ranked(t), 64 - BITS).bitwiseOR(F.shiftrightunsigned(t, BITS))))
     n = F.size("tokens")
     prefix = F.slice(ordered, 1, (n - F.ceil(F.lit(percent) * n / 100) + 1).cast("int"))
     table = staged(_tokenised(_lines(rows)).select(
