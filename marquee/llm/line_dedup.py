@@ -21,8 +21,9 @@ from marquee.runtime import staged
 WORDS = 5
 BITS = 14
 BUCKETS = 1 << BITS
-BROADCAST_LINES = 300_000   # lines of 16 bytes each
+SIEVE_BITS = 17      # the sieve has 2**17 rows of 64 bits at most
 STEP = 4
+LINE = ["key", "line_no"]
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -76,6 +77,21 @@ def _need(a, b, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
+def _sifted(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose line may be in ``wanted``: all that are, and some others.
+
+    A bit table of bounded size is broadcast before an exact join, so that the join's shuffle
+    carries few other lines. Where ``wanted`` has many millions of lines most bits are set and
+    the shuffle carries all lines; results are the same.
+    """
+    code = F.xxhash64("key", "line_no")
+    slot, bit = code.bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)), F.shiftrightunsigned(code, 64 - 6).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    sieve = wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(one).alias("_bits"))
+    return (df.withColumn("_slot", slot).withColumn("_bit", one).join(F.broadcast(sieve), "_slot")
+            .where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_slot", "_bit", "_bits"))
+
+
 def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """((key, line_no, n) of all lines with a word, (key, line_no) of the lines to remove)."""
     spark = rows.sparkSession
@@ -96,25 +112,25 @@ def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     by_token = Window.partitionBy("token")
     shared = staged(posted.withColumn("rank", F.row_number().over(by_token.orderBy("key", "line_no")))
                     .withColumn("size", F.count("*").over(by_token)).where("size > 1"), "shared-tokens")
-    wanted = staged(shared.select("key", "line_no").distinct(), "candidate-lines")
-    few = wanted.count() <= BROADCAST_LINES
-    sets = staged(_tokenised(_lines(rows).join(F.broadcast(wanted) if few else wanted, ["key", "line_no"], "left_semi"))
+    wanted = shared.select("key", "line_no").distinct()
+    sets = staged(_tokenised(_sifted(_lines(rows), wanted).join(wanted, LINE, "left_semi"))
                   .select("key", "line_no", "tokens"), "candidate-sets")
     deepest = shared.agg(F.max("size")).first()[0] or 0
     gone, low = None, 1
     while low < deepest:
         late = shared.where(F.col("rank") > low)
         if gone is not None:
-            late = late.join(gone, ["key", "line_no"], "left_anti")
+            late = late.join(gone, LINE, "left_anti")
         early = shared.where((F.col("rank") >= low) & (F.col("rank") < low * STEP)).select(
             F.col("token"), *[F.col(c).alias(f"e_{c}") for c in ("key", "line_no", "n", "pos", "rank")])
         a, b = F.col("n"), F.col("e_n")
         rest = 1 + F.least(a - 1 - F.col("pos"), b - 1 - F.col("e_pos"))
-        pairs = (late.join(early, "token").where(
+        pairs = staged(late.join(early, "token").where(
             (F.col("e_rank") < F.col("rank")) & (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (rest >= _need(a, b, percent)))
-            .select("key", "line_no", "e_key", "e_line_no").distinct())
-        met = pairs.join(sets, ["key", "line_no"]).join(
-            sets.select(F.col("key").alias("e_key"), F.col("line_no").alias("e_line_no"), F.col("tokens").alias("e_tokens")),
+            .select("key", "line_no", "e_key", "e_line_no").distinct(), "line-pairs")
+        earlier = pairs.select(F.col("e_key").alias("key"), F.col("e_line_no").alias("line_no"))
+        met = pairs.join(_sifted(sets, pairs), LINE).join(
+            _sifted(sets, earlier).select(F.col("key").alias("e_key"), F.col("line_no").alias("e_line_no"), F.col("tokens").alias("e_tokens")),
             ["e_key", "e_line_no"])
         both = F.size(F.array_intersect("tokens", "e_tokens"))
         linked = met.where(100 * both >= percent * (F.size("tokens") + F.size("e_tokens") - both)).select("key", "line_no").distinct()
