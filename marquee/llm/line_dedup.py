@@ -21,7 +21,7 @@ from marquee.runtime import staged
 WORDS = 5
 BITS = 14
 BUCKETS = 1 << BITS
-SIEVE_BITS = 17      # the sieve has 2**17 rows of 64 bits at most
+SIEVE_BITS = 19      # a sieve has 2**19 rows of 64 bits at most
 STEP = 4
 LINE = ["key", "line_no"]
 
@@ -59,32 +59,32 @@ def _tokenised(lines: DataFrame) -> DataFrame:
 
 
 def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    return token.bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _ranks(lines: DataFrame) -> Column:
-    """The rarity rank of each of the 16,384 buckets, as a constant array."""
+    """The rarity rank of each of the 16,384 buckets in the upper bits of a long, as a constant array."""
     at = _worded(lines).select("words", F.explode(_starts(F.col("words"))).alias("start"))
     counts = at.select(_bucket(_shingle(F.col("words"), F.col("start"))).alias("bucket")).groupBy("bucket").count()
     n = {r.bucket: r["count"] for r in counts.collect()}  # one row per bucket at most
     rank = [0] * BUCKETS
     for i, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
-        rank[bucket] = i - BUCKETS // 2
-    return F.expr(f"array({','.join(map(str, rank))})")
+        rank[bucket] = (i - BUCKETS // 2) * (1 << 64 - BITS)
+    return F.expr(f"array({','.join(f'bigint({r})' for r in rank)})")
 
 
 def _need(a, b, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-def _sifted(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose line may be in ``wanted``: all that are, and some others.
+def _sifted(df: DataFrame, wanted: DataFrame, on: list[str] = LINE) -> DataFrame:
+    """The rows of ``df`` whose columns ``on`` may be in ``wanted``: all that are, and some others.
 
-    A bit table of bounded size is broadcast before an exact join, so that the join's shuffle
-    carries few other lines. Where ``wanted`` has many millions of lines most bits are set and
-    the shuffle carries all lines; results are the same.
+    A bit table of bounded size is broadcast before an exact join or window, so that its shuffle
+    carries few other rows. Where ``wanted`` has many millions of rows most bits are set and
+    the shuffle carries all rows; results are the same.
     """
-    code = F.xxhash64("key", "line_no")
+    code = F.xxhash64(*on)
     slot, bit = code.bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)), F.shiftrightunsigned(code, 64 - 6).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
     sieve = wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(one).alias("_bits"))
@@ -92,28 +92,45 @@ def _sifted(df: DataFrame, wanted: DataFrame) -> DataFrame:
             .where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_slot", "_bit", "_bits"))
 
 
+def _copies(table: DataFrame) -> DataFrame:
+    """(key, line_no) of lines whose words equal those of an earlier line."""
+    groups = staged(table.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min(F.struct("key", "line_no")).alias("f"))
+                    .where("size > 1").drop("size"), "equal-lines")
+    return staged(_sifted(table.select("k1", "k2", *LINE), groups, ["k1", "k2"]).join(groups, ["k1", "k2"])
+                  .where("key <> f.key or line_no <> f.line_no").select(*LINE), "copies")
+
+
+def _shared_tokens(lines: DataFrame, copies: DataFrame) -> DataFrame:
+    """Postings of the prefix tokens that several lines have, copies left out, numbered by line within the token.
+
+    Tokens are counted first, so that the lines of tokens found once, nearly all, are not shuffled.
+    """
+    tokens = lines.select(F.explode("prefix").alias("token"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    posted = lines.select("key", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
+    by_token = Window.partitionBy("token")
+    # outer and inner joins stay above the sieve; semi and anti joins would be moved below it
+    met = _sifted(posted, several, ["token"]).join(copies.withColumn("copy", F.lit(True)), LINE, "left").where("copy is null").drop("copy")
+    return staged(met
+                  .withColumn("rank", F.row_number().over(by_token.orderBy(*LINE)))
+                  .withColumn("size", F.count("*").over(by_token)).where("size > 1"), "shared-tokens")
+
+
 def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """((key, line_no, n) of all lines with a word, (key, line_no) of the lines to remove)."""
     spark = rows.sparkSession
     rank = _ranks(_lines(rows))
-    ranked = lambda t: F.coalesce(F.get(rank, _bucket(t)), F.lit(0)).cast("bigint")  # noqa: E731  (never null: sorts as longs)
-    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(ranked(t), 64 - BITS).bitwiseOR(F.shiftrightunsigned(t, BITS))))
+    ordered = F.sort_array(F.transform("tokens", lambda t: rank[_bucket(t)].bitwiseOR(F.shiftrightunsigned(t, BITS))))
     n = F.size("tokens")
     prefix = F.slice(ordered, 1, (n - F.ceil(F.lit(percent) * n / 100) + 1).cast("int"))
     table = staged(_tokenised(_lines(rows)).select(
         "key", "line_no", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"),
         n.alias("n"), prefix.alias("prefix")), "lines")
 
-    firsts = table.groupBy("k1", "k2").agg(F.min(F.struct("key", "line_no", "n", "prefix")).alias("f")).select("f.*")
-    same = table.join(table.groupBy("k1", "k2").agg(F.min(F.struct("key", "line_no")).alias("f")), ["k1", "k2"])
-    copies = same.where("key <> f.key or line_no <> f.line_no").select("key", "line_no")
-
-    posted = firsts.where("n > 1").select("key", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    shared = staged(posted.withColumn("rank", F.row_number().over(by_token.orderBy("key", "line_no")))
-                    .withColumn("size", F.count("*").over(by_token)).where("size > 1"), "shared-tokens")
+    copies = _copies(table)
+    shared = _shared_tokens(table.where("n > 1"), copies)
     wanted = shared.select("key", "line_no").distinct()
-    sets = staged(_tokenised(_sifted(_lines(rows), wanted).join(wanted, LINE, "left_semi"))
+    sets = staged(_tokenised(_sifted(_lines(rows), wanted).join(wanted, LINE))
                   .select("key", "line_no", "tokens"), "candidate-sets")
     deepest = shared.agg(F.max("size")).first()[0] or 0
     gone, low = None, 1
