@@ -5,8 +5,9 @@ by rarity: a fixed table of 16,384 counters over all lines ranks the hash bucket
 token is rewritten as (rank, rest of the hash), which is one-to-one. Lines that link share a
 token among their first few (prefix filter); positions and lengths bound the overlap, and
 the Jaccard similarity is verified on the whole sets. A line is removed if an earlier line
-links with it. Lines with one token are compared with the earliest lines of its bucket first
+links with it. Lines with a token are compared with the earliest lines of its bucket first
 and leave the search as soon as one links, so groups of similar lines are not paired up.
+Lines of one distinct token (one word over and over, say) are grouped by it without a join.
 """
 
 from __future__ import annotations
@@ -58,6 +59,11 @@ def _tokenised(lines: DataFrame) -> DataFrame:
     return _worded(lines).withColumn("tokens", F.array_distinct(F.transform(_starts(words), lambda i: _shingle(words, i))))
 
 
+def _identity(words: Column, n: Column) -> Column:
+    """What two lines with equal token sets by their words have in common; lines of one token have their first shingle."""
+    return F.slice(words, 1, F.when(n == 1, F.least(F.size(words), F.lit(WORDS))).otherwise(F.size(words)))
+
+
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1))
 
@@ -93,7 +99,7 @@ def _sifted(df: DataFrame, wanted: DataFrame, on: list[str] = LINE) -> DataFrame
 
 
 def _copies(table: DataFrame) -> DataFrame:
-    """(key, line_no) of lines whose words equal those of an earlier line."""
+    """(key, line_no) of lines whose words, or whose only token, equal those of an earlier line."""
     groups = staged(table.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min(F.struct("key", "line_no")).alias("f"))
                     .where("size > 1").drop("size"), "equal-lines")
     return staged(_sifted(table.select("k1", "k2", *LINE), groups, ["k1", "k2"]).join(groups, ["k1", "k2"])
@@ -122,9 +128,10 @@ def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFr
     rank = _ranks(_lines(rows))
     ordered = F.sort_array(F.transform("tokens", lambda t: rank[_bucket(t)].bitwiseOR(F.shiftrightunsigned(t, BITS))))
     n = F.size("tokens")
+    own = _identity(F.col("words"), n)
     prefix = F.slice(ordered, 1, (n - F.ceil(F.lit(percent) * n / 100) + 1).cast("int"))
     table = staged(_tokenised(_lines(rows)).select(
-        "key", "line_no", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"),
+        "key", "line_no", F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2"),
         n.alias("n"), prefix.alias("prefix")), "lines")
 
     copies = _copies(table)
@@ -163,7 +170,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Lines are compared across the whole table in the order of id (null first) and line; lines
     of null texts do not exist and lines without a word are never removed. Lines with fewer
-    than five words are one token and match only equal words. Words are lower-cased.
+    than five words are one token and match only equal words; a line that repeats one word five
+    times or more is one token too and matches every other such line of that word. Words are lower-cased.
     """
     rows = keyed_texts(docs, id_col, text_col)
     lines, removed = removed_lines(rows, percent)
