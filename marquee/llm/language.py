@@ -14,15 +14,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import text as T
+from marquee.runtime import staged
 
 BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
-CACHE_WORDS = 400_000
+CACHE_CELLS = 13 * 400_000   # words times (languages + 1) of a task's cache
 LEAST_STEPS = 900   # of the optimiser, however few rows are labelled
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -161,7 +162,7 @@ def _predict(shared, text: int, passing: bool):
         words = WordScores(model.scores)
         for batch in batches:
             for chunk in T.chunks(batch.column(text)):
-                if len(words) > CACHE_WORDS:
+                if len(words) * (len(model.labels) + 1) > CACHE_CELLS:
                     words = WordScores(model.scores)
                 at, letters = [], []
                 for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:]):
@@ -187,30 +188,34 @@ def _predict(shared, text: int, passing: bool):
     return run
 
 
-def labelled_sample(docs: DataFrame, usable: Column, per_label: int, labels: int, id_col: str, text_col: str,
+def labelled_sample(docs: DataFrame, usable: Column, per_label: int, total: int, least: int, id_col: str, text_col: str,
                     lang_col: str) -> list:
-    """At most about ``per_label`` rows of each of the ``labels`` most frequent languages, chosen by hash.
+    """Rows of every language, chosen by hash: about ``total`` shared out evenly, at most ``per_label`` of each.
 
-    The counts come from all rows; the sample is cut by a hash of the id, so no label's rows
-    meet in one task.
+    A language gets about ``least`` rows (or all it has) even where that makes more than
+    ``total``, and never less than one. The counts come from all rows; the sample is cut by a
+    hash of the id, so no label's rows meet in one task.
     """
     pool = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = pool.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(labels)
-    share = counts.select(F.col(lang_col).alias("_lang"), (F.lit(per_label) / F.col("count")).alias("_share"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = pool.join(F.broadcast(share), F.col(lang_col) == F.col("_lang")).where(draw < F.col("_share"))
-    return (picked.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-            .orderBy(F.xxhash64("text"), "lang").limit(2 * per_label * labels).collect())
-
-
-def train(docs: DataFrame, usable: Column, per_label: int = 500, labels: int = 12,
+    counts = staged(pool.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"), F.min(draw).alias("_first")), "languages")
+    each = max(least, min(per_label, total // max(1, counts.count())))
+    picked = (pool.join(counts, F.col(lang_col) == F.col("_lang"))
+              .where((draw < F.lit(each) / F.col("_n")) | (draw == F.col("_first")))
+              .select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+              .withColumn("at", F.xxhash64("text")))
+    own = Window.partitionBy("lang").orderBy("at", "text")
+    return (picked.withColumn("k", F.row_number().over(own)).where(F.col("k") <= 2 * each)  # repeated ids are drawn together
+            .orderBy("at", "lang").select("text", "lang").collect())
+
+
+def train(docs: DataFrame, usable: Column, per_label: int = 500, total: int = 6000, least: int = 50,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample: about ``per_label`` rows for each of at most ``labels`` languages.
+    """Fit on a sample of all languages: ``per_label`` rows of each, fewer (``total`` shared out, but ``least``) if there are many.
 
-    Both bounds are parameters; with them the sample that reaches the driver is bounded
-    whatever the table holds.
+    Only rows are bounded, never languages: every non-null value is a class.
     """
-    rows = labelled_sample(docs, usable, per_label, labels, id_col, text_col, lang_col)
+    rows = labelled_sample(docs, usable, per_label, total, least, id_col, text_col, lang_col)
     return fit([r.text.encode() for r in rows], [r.lang for r in rows])
 
 
@@ -221,7 +226,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     labels; ``rejected`` says that the calibrated confidence is below the threshold. Rows are
     independent, so repeated and null ids are kept as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 x at most `labels` floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 floats per language
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_predict(shared, 1, False), "doc_id long, lang_pred string, score double, rejected boolean")
 
