@@ -4,7 +4,8 @@ An Aho-Corasick automaton lists all vocabulary pieces inside a word; dynamic pro
 over its positions carries the best score and the number of pieces of the best path, and
 never builds the pieces. Ties go to the longer last piece, as in the unigram tokenizers:
 a later candidate must be strictly better. Positions that no piece covers become one
-unknown character, priced ten below the lowest score; neighbouring unknowns count once.
+unknown character, priced ten below the lowest score. Under a vocabulary with byte fallback
+an unknown character counts as its UTF-8 bytes; otherwise neighbouring unknowns count once.
 """
 
 from __future__ import annotations
@@ -32,12 +33,21 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
             if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i))]
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether a sentencepiece file has all 256 byte pieces, so that no character is unknown."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    return len({p.id_to_piece(i) for i in range(p.get_piece_size()) if p.is_byte(i)}) == 256
+
+
 class Counter:
     """Best score and piece count of strings under one vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False):
         import ahocorasick
 
+        self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -66,7 +76,10 @@ class Counter:
                 if value is None or v > value:
                     value = v
                     odd = score is None
-                    number = pieces[b] + (0 if odd and unknown[b] else 1)
+                    if odd and self.byte_fallback:
+                        number = pieces[b] + len(s[b].encode())
+                    else:
+                        number = pieces[b] + (0 if odd and unknown[b] else 1)
             best[e], pieces[e], unknown[e] = value, number, odd
         return best[n], pieces[n]
 
@@ -87,7 +100,7 @@ class Words(dict):
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> Words:
-    return Words(Counter(read_pieces(path)))
+    return Words(Counter(read_pieces(path), has_byte_pieces(path)))
 
 
 def count_text(words: Words, raw: bytes) -> tuple[float, int]:
@@ -121,7 +134,8 @@ def _counted(path: str):
 def unigram_counts(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, score) per row: piece count and score of the best segmentation.
 
-    ``pieces`` is a sentencepiece file that names the vocabulary and its scores. Null, empty
+    ``pieces`` is a sentencepiece file that names the vocabulary and its scores; if it has byte
+    pieces, a character that no piece covers is as many tokens as it has UTF-8 bytes. Null, empty
     and blank texts have no tokens and score zero; rows are independent of one another, so
     repeated and null ids are kept as they are.
     """
