@@ -37,18 +37,22 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(gone, "key", "left_anti").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources, up to twice; every document stays at least once."""
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, block_tokens: int = 1 << 20) -> DataFrame:
+    """Repeats documents of small sources, up to twice; every document stays at least once.
+
+    Rows are in the order of the dealt blocks, over partitions and so over the written files.
+    """
     rows = keyed_texts(docs, "doc_id", "text", *[F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)])
     source = f"in_{docs.columns.index('source')}"
-    uses = mixing.mix(rows, mixing.word_count(F.col("text")), id_col="key", source_col=source)
-    return (rows.join(uses.select(F.col("doc_id").alias("key")), "key")
+    uses = mixing.mix(rows, mixing.word_count(F.col("text")), block_tokens=block_tokens, id_col="key", source_col=source)
+    dealt = rows.drop("doc_id", "text").join(uses.select(F.col("doc_id").alias("key"), "block", "place"), "key")
+    return (dealt.repartitionByRange("block", "place").sortWithinPartitions("block", "place")
             .select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2,048 tokens, as pieces of documents."""
-    return packing.pack(docs, TOKENIZER)
+    """Sequences of 2,048 tokens, as pieces of documents in the order that mixing wrote them."""
+    return packing.pack(docs, TOKENIZER, in_file_order=True)
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """Concatenate and cut: token ids laid end to end and cut into fixed windows.
 
-Pass one tokenises each partition, stores the ids with their start inside the partition and
-so gives the partition totals. A prefix sum over those totals (one row per partition) turns
+Pass one tokenises each partition, stores the ids with their start inside the partition (or
+the piece of a file) and so gives its total. A prefix sum over those totals (one row each) turns
 them into global offsets. Pass two cuts each document at the window boundaries; a document
 that crosses a boundary gives one record on either side. Tokens are never shuffled.
 """
@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +79,15 @@ def _word_ids(path: str) -> WordIds:
 
 
 def _tokenised(path: str, end_id: int):
+    """Batches of (doc_id, text, file, block); ``file`` and ``block`` name the piece of a file a row is from."""
     def run(batches):
         words = _word_ids(path)
         end, width = np.array([end_id], words.dtype).tobytes(), np.dtype(words.dtype).itemsize
-        part, at, row = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        part, at, row, held = TaskContext.get().partitionId(), 0, 0, None
+        for batch in (b for whole in batches for b in _pieces(whole)):
+            piece = (batch.column(2)[0].as_py(), batch.column(3)[0].as_py())
+            if piece != held:
+                at, row, held = 0, 0, piece
             for chunk in T.chunks(batch.column(1)):
                 found = [chunk.data[lo:hi].tobytes().lower().split() for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:])]
                 words.learn(set().union(*found))
@@ -91,13 +96,24 @@ def _tokenised(path: str, end_id: int):
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(chunk.first, len(ids)), pa.array(np.full(len(ids), part, np.int64)),
+                    batch.column(0).slice(chunk.first, len(ids)), *(batch.column(i).slice(chunk.first, len(ids)) for i in (2, 3)),
+                    pa.array(np.full(len(ids), part, np.int64)),
                     pa.array(np.arange(row, row + len(ids))), pa.array(start), pa.array(n), pa.array(ids, pa.binary()),
-                ], ["doc_id", "part", "row", "start", "n", "ids"])
+                ], ["doc_id", "file", "block", "part", "row", "start", "n", "ids"])
                 row += len(ids)
     return run
 
 
+def _pieces(batch: pa.RecordBatch):
+    """The runs of a batch that are from one piece of a file."""
+    if not batch.num_rows:
+        return
+    file, block = batch.column(2).dictionary_encode().indices.to_numpy(), batch.column(3).to_numpy()
+    cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(int(lo), int(hi - lo))
+
+
 def _cut(window: int, dtype: np.dtype):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -121,28 +137,43 @@ def _cut(window: int, dtype: np.dtype):
     return run
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, part, row, start, n, ids) as a stage table: ``ids`` with ``end_id`` appended."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return staged(rows.mapInArrow(_tokenised(tokenizer, end_id),
-                                  "doc_id long, part long, row long, start long, n long, ids binary"), "tokens")
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+              in_file_order: bool = False) -> DataFrame:
+    """(doc_id, file, block, part, row, start, n, ids) as a stage table: ``ids`` with ``end_id`` appended.
+
+    ``start`` counts from the beginning of (part, file, block).
+    """
+    rows = [F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    none = [F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block")]
+    found = docs.select(*rows, *none)
+    if in_file_order:
+        try:
+            found = docs.select(*rows, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        except AnalysisException:
+            pass  # not read from files: its partitions are in order
+    return staged(found.mapInArrow(_tokenised(tokenizer, end_id), "doc_id long, file string, block long, part long, row long, "
+                                                                  "start long, n long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", in_file_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document lies in exactly one piece; all sequences but the last are full.
     Null and empty texts are the end id alone. Rows that repeat an id are packed as separate
     documents with that id; a null id is kept as null. An empty table gives no rows. Documents
-    are laid out in the order they are read.
+    are laid out in the order they are read, which for files is by size; ``in_file_order`` lays
+    out the rows of part files by the files' numbers and keeps the order a sorted table was
+    written in. A table that is not read from files keeps the order of its partitions.
     """
-    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col)
+    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col, in_file_order)
     dtype = _word_ids(tokenizer).dtype
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    placed = tokens.join(F.broadcast(offsets), "part")  # one row per partition of the input
+    piece = ["file", "block", "part"]
+    totals = tokens.groupBy(*piece).agg(F.sum("n").alias("total"))
+    number = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    before = Window.orderBy(number, *piece).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*piece, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    placed = tokens.join(F.broadcast(offsets), piece)  # one row per partition of the input, or piece of its files
     return (placed.select("doc_id", (F.col("start") + F.col("offset")).alias("base"), "n", "ids")
             .mapInArrow(_cut(window, dtype), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                              "sequence_id long, offset long"))
