@@ -90,4 +90,32 @@ o AS (SELECT k.doc_id, count(*) AS n_lines, count(r.line) AS n_removed,
       FROM k LEFT JOIN r ON r.line = k.line GROUP BY k.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                  string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+n AS (SELECT *, (len(parts) - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END)::BIGINT AS n,
+             ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+e AS (SELECT *, CASE WHEN lo = 0 THEN 0 WHEN lo = n THEN length(text)
+                     ELSE length(array_to_string(parts[1:lo], chr(10))) + 1 END AS a,
+                CASE WHEN hi = 0 THEN 0 WHEN hi = n THEN length(text)
+                     ELSE length(array_to_string(parts[1:hi], chr(10))) + 1 END AS b FROM c),
+o AS (SELECT *, left(text, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM o""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top,
+             list_transform(range(0, 8), lambda i: ('0x' || substr(h, (i * 5 + 1)::INTEGER, 5))::BIGINT) AS v FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+         lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((x >> k) & 31) + 1)::INTEGER, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM b""",
 }

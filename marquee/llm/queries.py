@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import (embedding_dedup, kneser_ney, language, line_dedup, mixing, packing, parity_join, quality,
-                         suffix_dedup, token_counts)
+from marquee.llm import (alignment, embedding_dedup, fill_middle, kneser_ney, language, line_dedup, mixing, packing, parity_join,
+                         quality, suffix_dedup, token_counts, warc)
 from marquee.llm.oracles import ORACLES  # noqa: F401
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,23 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(documents(spark, sf_dir)).withColumn("removed", F.array_join("removed", ","))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    found = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.alignment_counts(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
+
+
+def op13_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.archived_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_packing, op3_ngram_jaccard_join, op4_quality_rules, op5_language_id, op6_embedding_near_dedup,
-    op7_lm_scoring, op8_suffix_array_dedup, op9_token_counts, op10_line_dedup)}
+    op7_lm_scoring, op8_suffix_array_dedup, op9_token_counts, op10_line_dedup, op11_fill_in_middle,
+    op12_cross_tokenizer_alignment, op13_warc)}
