@@ -18,6 +18,8 @@ ALS_ITERATIONS = 10
 BPR_LR = 1e-3
 BPR_REG = 1e-4
 BPR_EPOCHS = 20
+BPR_BATCHES = 8   # own choice: steps per epoch
+GCN_BATCHES = 2   # own choice: a step costs two propagations
 NEGATIVE_TRIES = 20
 VAL_SAMPLES_FLOOR = 10_000
 EASE_REG = 350.0

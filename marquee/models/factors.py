@@ -20,6 +20,7 @@ class FactorModel:
     mean: float = 0.0
     params: dict = field(default_factory=dict)
     history: list[float] = field(default_factory=list)
+    val_history: list[float] = field(default_factory=list)  # from epoch 0, the start
 
 
 def gaussian_vector(key: Column, dim: int, std: float, seed: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.config import GCN_LAYERS
 from marquee.functions import vectors as V
+from marquee.operators.blocks import Sliced, product, sliced
 
 
 def bidirectional_edges(train: DataFrame) -> DataFrame:
@@ -35,29 +36,24 @@ def sym_normalise(edges: DataFrame) -> DataFrame:
         "src", "dst", (F.col("w") * F.col("d_src") * F.col("d_dst")).alias("w"))
 
 
-def neighbour_sum(edges: DataFrame, emb: DataFrame, dim: int) -> DataFrame:
-    """Weighted sum of the neighbours' vectors per node.
-
-    The vector sum combines on the map side, so a hub's messages arrive as one partial
-    vector per task; a hub as source is split by the skew-join handling.
-    """
-    messages = edges.join(emb.select(F.col("node").alias("src"), "vec"), "src")
-    return messages.groupBy("dst").agg(V.vector_sum(F.col("vec"), dim, F.col("w")).alias("vec")).select(
-        F.col("dst").alias("node"), "vec")
+def neighbour_sum(edges: DataFrame | Sliced, emb: DataFrame, dim: int) -> DataFrame:
+    """Weighted sum of the neighbours' vectors per node that has any."""
+    return product(as_sliced(edges), emb, dim)
 
 
-def propagate(edges: DataFrame, emb: DataFrame, dim: int, layers: int = GCN_LAYERS) -> DataFrame:
+def propagate(edges: DataFrame | Sliced, emb: DataFrame, dim: int, layers: int = GCN_LAYERS) -> DataFrame:
     """Mean over layers 0..K of the repeatedly propagated vectors.
 
     A node that receives nothing in a layer counts as zero there. The layers are summed as
     E + Â(E + Â(E + …)): each step reads the one before once, and the base vectors join the
-    messages in the same aggregation.
+    partial products in the same aggregation. Give a :class:`Sliced` matrix where several
+    products share it.
     """
-    base = emb.select("node", "vec", F.lit(1.0).alias("w"))
-    total = emb.select("node", "vec")
+    matrix, total = as_sliced(edges), emb.select("node", "vec")
     for _ in range(layers):
-        source = total.select(F.col("node").alias("src"), "vec")
-        messages = edges.join(source, "src").select(F.col("dst").alias("node"), "vec", "w")
-        total = messages.unionByName(base).groupBy("node").agg(
-            V.vector_sum(F.col("vec"), dim, F.col("w")).alias("vec"))
+        total = product(matrix, total, dim, plus=emb)
     return total.select("node", V.scaled(F.col("vec"), F.lit(1.0 / (layers + 1))).alias("vec"))
+
+
+def as_sliced(edges: DataFrame | Sliced) -> Sliced:
+    return edges if isinstance(edges, Sliced) else sliced(edges)

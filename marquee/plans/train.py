@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from marquee import config
 from marquee.models import als, content, ease, factors, pairwise
 from marquee.operators import graph, prepare
+from marquee.operators.blocks import sliced
 from marquee.operators.clean import positives
 from marquee.operators.features import popularity_minmax
-from marquee.operators.sampling import TripletSampler
+from marquee.operators.sampling import TripletSampler, val_triplets
 from marquee.plans.feature_engineering import Features
 from marquee.plans.preprocess import Preprocessed
 from marquee.runtime import staged
@@ -31,6 +32,7 @@ class TrainOptions:
     lr: float = config.BPR_LR
     ease_reg: float = config.EASE_REG
     ease_block: int = ease.BLOCK
+    batches: int = config.BPR_BATCHES
     gcn_dim: int = config.GCN_DIM
     gcn_layers: int = config.GCN_LAYERS
     seed: int = config.SEED
@@ -66,7 +68,10 @@ def train_models(
     elif chosen & {"bpr", "hybrid"}:
         out.als = load_factors(spark, f"{store}/als")
 
-    sampler = TripletSampler(train, popularity) if chosen & {"bpr", "lightgcn"} else None
+    sampler = held_out = None
+    if chosen & {"bpr", "lightgcn"}:
+        sampler = TripletSampler(train, popularity)
+        held_out = staged(val_triplets(positives(prep.part_of("val")), popularity, options.samples, options.seed + 1, exclude=train), "val-triplets")
     if "bpr" in chosen:
         users = factors.random_factors(prep.user_map, "user_idx", options.rank, options.seed)
         items = factors.random_factors(prep.movie_map, "movie_idx", options.rank, options.seed + 1)
@@ -74,7 +79,8 @@ def train_models(
             sampler,
             factors.warm_start(users, out.als.users, "user_idx", options.rank, out.als.rank),
             factors.warm_start(items, out.als.items, "movie_idx", options.rank, out.als.rank),
-            n_users, options.rank, options.samples, options.epochs, options.lr, seed=options.seed))
+            options.rank, options.samples, options.epochs, options.lr, seed=options.seed, batches=options.batches,
+            validation=held_out))
     elif "hybrid" in chosen:
         out.bpr = load_factors(spark, f"{store}/bpr")
 
@@ -88,11 +94,11 @@ def train_models(
         _fit_rankers(chosen, train, feats, out, popularity, options, n_genres)
 
     if "lightgcn" in chosen:
-        adjacency = staged(graph.sym_normalise(graph.bipartite_edges(train, n_users)), "adjacency")
+        adjacency = sliced(graph.sym_normalise(graph.bipartite_edges(train, n_users)))
         nodes = spark.range(n_users + n_items).select(F.col("id").cast("int").alias("node"))
         out.lightgcn = _stored(spark, f"{store}/lightgcn", pairwise.lightgcn_fit(
             adjacency, nodes, sampler, n_users, options.gcn_dim, options.gcn_layers,
-            options.samples, options.epochs, options.lr, seed=options.seed))
+            options.samples, options.epochs, options.lr, seed=options.seed, validation=held_out))
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import vectors as V
 from marquee.models import als, content, ease, factors, pairwise
-from marquee.operators import graph, prepare, ranking_eval, sampling, score
+from marquee.operators import blocks, graph, prepare, ranking_eval, sampling, score
 
 
 def ratings(spark, n_users=40, n_items=30, seed=1):
@@ -169,16 +169,21 @@ def test_pairwise_gradient_matches_finite_differences(spark):
     def loss(mat):
         return np.mean([np.log1p(np.exp(-(mat[u] @ (mat[i] - mat[j])))) for u, i, j in samples])
 
-    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "node int, vec array<double>")
-    trip = spark.createDataFrame(samples, "user int, pos int, neg int")
-    rows = pairwise.pairwise_gradients(trip, emb, 3, len(samples)).collect()
-    assert sum(r.loss for r in rows) == pytest.approx(loss(e))
-    for r in rows:
-        for d in range(3):
+    users = spark.createDataFrame([(i, e[i].tolist()) for i in range(3)], "idx int, vec array<double>")
+    items = spark.createDataFrame([(i, e[3 + i].tolist()) for i in range(3)], "idx int, vec array<double>")
+    trip = spark.createDataFrame([(u, i - 3, j - 3) for u, i, j in samples], "user_idx int, pos_idx int, neg_idx int")
+    for block in (512, 1):
+        rows = pairwise.pairwise_gradients(pairwise.batched(trip, 1, block), users, items, 3, len(samples)).collect()
+        assert sum(r.loss for r in rows) == pytest.approx(loss(e))
+        assert sum(r.uses for r in rows) == 3 * len(samples)
+        grad = np.zeros_like(e)
+        for r in rows:
+            grad[r.idx if r.is_user else 3 + r.idx] += r.grad
+        for at in np.ndindex(*e.shape):
             up, down = e.copy(), e.copy()
-            up[r.node, d] += 1e-6
-            down[r.node, d] -= 1e-6
-            assert r.grad[d] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-6)
+            up[at] += 1e-6
+            down[at] -= 1e-6
+            assert grad[at] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-6)
 
 
 def test_triplets(spark):
@@ -205,7 +210,7 @@ def test_bpr_and_lightgcn_losses_fall(spark):
     items = spark.range(20).select(F.col("id").cast("int").alias("movie_idx"))
     model = pairwise.bpr_fit(
         sampler, factors.random_factors(ids, "user_idx", 4, 1), factors.random_factors(items, "movie_idx", 4, 2),
-        20, 4, samples=400, epochs=4, lr=0.2)
+        4, samples=400, epochs=4, lr=0.2, batches=2, block=4)
     assert model.history[-1] < model.history[0]
     adj = graph.sym_normalise(graph.bipartite_edges(train, 20))
     nodes = spark.range(40).select(F.col("id").cast("int").alias("node"))
@@ -256,3 +261,76 @@ def test_gated_score(spark):
     a = spark.createDataFrame([(0, 0, 1.0)], "user_idx int, movie_idx int, score double")
     b = spark.createDataFrame([(0, 0, 4.0)], "user_idx int, movie_idx int, score double")
     assert factors.gated_score(a, b, 1.0).first().score == pytest.approx(1 + 4 / (1 + math.exp(-1)))
+
+
+def test_sliced_product_equals_the_dense_one(spark):
+    rng = np.random.default_rng(6)
+    a = np.where(rng.random((50, 50)) < 0.2, rng.normal(size=(50, 50)), 0)
+    a[7] = rng.normal(size=50)  # a hub
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "src int, dst int, w double")
+    e = rng.normal(size=(50, 5))
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e) if i != 3], "node int, vec array<double>")
+    e[3] = 0
+    for sources, slice_edges in ((4096, 131_072), (8, 20), (1, 1)):
+        got = vectors_of(blocks.product(blocks.sliced(edges, sources, slice_edges), emb, 5), "node")
+        want = a.T @ e
+        assert set(got) == set(np.flatnonzero(np.abs(a).sum(axis=0)))
+        for i, v in got.items():
+            np.testing.assert_allclose(v, want[i], atol=1e-12)
+    assert blocks.product(blocks.sliced(edges.where("false")), emb, 5).count() == 0
+
+
+def adam_by_hand(vec, grads_by_step, lr, decay):
+    """Lazy Adam with decoupled decay, one row."""
+    m = v = np.zeros_like(vec)
+    last = 0
+    for step, g in grads_by_step:
+        idle = step - last
+        m, v, last = 0.9 ** idle * m + 0.1 * g, 0.999 ** idle * v + 0.001 * g * g, step
+        vec = vec * (1 - lr * decay) ** idle - lr * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    return vec, last
+
+
+def test_lazy_adam_catches_up(spark):
+    start = np.array([[1.0, -2.0], [0.5, 0.0], [3.0, 3.0]])
+    state = pairwise.adam_state(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(start)], "idx int, vec array<double>"), 2)
+    steps = {1: {0: [0.1, -0.2], 1: [1e-3, 0.0]}, 2: {1: [0.4, 0.4]}, 4: {0: [-0.3, 0.2]}}
+    for step, grads in steps.items():
+        rows = spark.createDataFrame(list(grads.items()), "idx int, grad array<double>")
+        state = pairwise.lazy_adam(state, rows, step, 0.05, 0.1)
+    got = vectors_of(pairwise.decayed(state, 5, 0.05, 0.1), "idx")
+    for i in range(3):
+        vec, last = adam_by_hand(start[i], [(s, np.array(g[i])) for s, g in steps.items() if i in g], 0.05, 0.1)
+        np.testing.assert_allclose(got[i], vec * 0.995 ** (5 - last), atol=1e-12)
+
+
+def test_watch_agrees_with_early_stop(spark):
+    losses = [3.0, 2.0, 2.5, 2.4, 2.3, 1.0]
+    watch, stopped = pairwise.Watch(3), None
+    for i, loss in enumerate(losses):
+        if watch.stop_after(loss, i):
+            stopped = i
+            break
+    history = spark.createDataFrame([("r", i + 1, x) for i, x in enumerate(losses)], "run string, epoch int, loss double")
+    want = factors.early_stop(history, ["run"], 3).first()
+    assert (watch.best + 1, stopped + 1, min(watch.losses)) == (want.best_epoch, want.stop_epoch, want.best_loss)
+    assert watch.state == watch.best
+
+
+def test_fit_returns_its_best_epoch(spark):
+    rows = [(u, m) for u in range(20) for m in range(20) if (u // 10 == m // 10) and (u + m) % 3]
+    train = spark.createDataFrame(rows, "user_idx int, movie_idx int")
+    sampler = sampling.TripletSampler(train, prepare.item_popularity(train))
+    held = sampler.draw(300, 7)
+    users, items = (factors.random_factors(spark.range(20).select(F.col("id").cast("int").alias(k)), k, 4, s) for k, s in (("user_idx", 1), ("movie_idx", 2)))
+    for lr, epochs, patience in ((0.1, 3, 7), (50.0, 6, 1)):  # the second one only gets worse
+        model = pairwise.bpr_fit(sampler, users, items, 4, samples=300, epochs=epochs, lr=lr, batches=2, block=4, validation=held, patience=patience)
+        best = model.params["best_epoch"]
+        assert model.val_history[best] == min(model.val_history)
+        assert pairwise.bpr_loss(held, model.users, model.items).first().loss == pytest.approx(model.val_history[best])
+    assert len(model.val_history) < 7
+    adj = graph.sym_normalise(graph.bipartite_edges(train, 20))
+    nodes = spark.range(40).select(F.col("id").cast("int").alias("node"))
+    gcn = pairwise.lightgcn_fit(adj, nodes, sampler, 20, dim=4, layers=2, samples=300, epochs=2, lr=0.2, batches=2, block=4, validation=held)
+    assert gcn.val_history[gcn.params["best_epoch"]] == min(gcn.val_history) < gcn.val_history[0]
+    assert pairwise.bpr_loss(held, gcn.users, gcn.items).first().loss == pytest.approx(min(gcn.val_history))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from marquee.functions import scalars as S
 from marquee.functions import vectors as V
 from marquee.operators import clean, features, graph
+from marquee.operators.blocks import Sliced, sliced
 from marquee.plans.preprocess import Preprocessed, prepare_interactions
 from marquee.runtime import checkpoint_root, staged
 from marquee.sources.readers import typed_links, typed_tmdb
@@ -182,6 +183,10 @@ class Tables:
     def adjacency(self) -> DataFrame:
         return staged(graph.sym_normalise(graph.bipartite_edges(self.train, self.n_users)), "adjacency")
 
+    @cached_property
+    def sliced_adjacency(self) -> Sliced:
+        return sliced(self.adjacency)
+
 
 _CACHE: dict[tuple[str, str], Tables] = {}
 

@@ -271,12 +271,12 @@ def node_vectors(t: Tables):
 
 @query("edge_join", NODES, "SELECT node, pos, round(x, 6) + 0.0 AS x FROM e1")
 def _(t: Tables):
-    return long(graph.neighbour_sum(t.adjacency, node_vectors(t), TEXT_DIM), "node")
+    return long(graph.neighbour_sum(t.sliced_adjacency, node_vectors(t), TEXT_DIM), "node")
 
 
 @query("propagate", NODES, """SELECT node, pos, round(sum(x) / 3, 6) + 0.0 AS x FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2) GROUP BY ALL""")
 def _(t: Tables):
-    return long(graph.propagate(t.adjacency, node_vectors(t), TEXT_DIM), "node")
+    return long(graph.propagate(t.sliced_adjacency, node_vectors(t), TEXT_DIM), "node")
 
 
 # -- scoring and ranking -----------------------------------------------------------

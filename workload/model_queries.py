@@ -59,7 +59,7 @@ def als_model(t: Tables):
 def bpr_model(t: Tables):
     start = als_model(t)
     return pairwise.bpr_fit(
-        sampler(t), start.users, start.items, t.n_users, RANK, t.train.count(), EPOCHS, 0.05)
+        sampler(t), start.users, start.items, RANK, t.train.count(), EPOCHS, 0.05, batches=4)
 
 
 @_once
@@ -75,7 +75,7 @@ def ease_weights(t: Tables):
 @_once
 def lightgcn_model(t: Tables):
     nodes = t.spark.range(t.n_users + t.n_items).select(F.col("id").cast("int").alias("node"))
-    return pairwise.lightgcn_fit(t.adjacency, nodes, sampler(t), t.n_users, 16, 2, t.train.count(), EPOCHS, 0.05)
+    return pairwise.lightgcn_fit(t.sliced_adjacency, nodes, sampler(t), t.n_users, 16, 2, t.train.count(), EPOCHS, 0.05, batches=1)
 
 
 @_once
@@ -273,12 +273,93 @@ def _(t: Tables):
     return history_rows(t, als_model(t).history)
 
 
-@query("bpr_fit")
+def _trip_cte(seed: int) -> str:
+    return _triplet_sql("train", "train", "SELECT DISTINCT user_idx, movie_idx FROM train", "(SELECT count(*) FROM train)", seed).replace(
+        "SELECT sample_id, user_idx, pos_idx, coalesce", ", trip AS (SELECT sample_id, user_idx, pos_idx, coalesce") + ")"
+
+
+LR, KEEP = 0.05, 1 - 0.05 * 1e-4  # a step leaves this part of a parameter
+
+
+def _gradient_sql(name: str, batch: int, users: str, items: str) -> str:
+    """Gradients of one batch: (user_idx, k, g) and (movie_idx, k, g) from lists with the bias slot last."""
+    return f""", {name} AS (SELECT *, -1 / (1 + exp(list_dot_product(p, d))) / count(*) OVER () AS w FROM (
+        SELECT user_idx, pos_idx, neg_idx, u.p, list_transform(range(1, 66), lambda k: i.q[k] - j.q[k]) AS d FROM trip
+        JOIN {users} u USING (user_idx) JOIN {items} i ON i.movie_idx = pos_idx JOIN {items} j ON j.movie_idx = neg_idx
+        WHERE (user_idx // 512) % 2 = {batch})),
+    {name}_u AS (SELECT user_idx, k, sum(w * d[k]) AS g FROM {name}, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL),
+    {name}_i AS (SELECT movie_idx, k, sum(g) AS g FROM (
+        SELECT pos_idx AS movie_idx, k, w * p[k] AS g FROM {name}, (SELECT unnest(range(1, 66)) AS k) UNION ALL
+        SELECT neg_idx, k, -w * p[k] FROM {name}, (SELECT unnest(range(1, 66)) AS k)) GROUP BY ALL)"""
+
+
+def _step_sql(step: int, m: str, v: str) -> str:
+    return f"{LR} * (({m}) / (1 - pow(0.9, {step}))) / (sqrt(({v}) / (1 - pow(0.999, {step}))) + 1e-8)"
+
+
+FIRST = _step_sql(1, "0.1 * a.g", "0.001 * a.g * a.g")
+
+
+@query("bpr_fit", FACTORS, _trip_cte(43) + f""", ul AS (SELECT user_idx, k, p[k] AS x FROM uf, (SELECT unnest(range(1, 65)) AS k)),
+    il AS (SELECT movie_idx, k, CASE WHEN k = 65 THEN bi ELSE q[k] END AS x FROM itf, (SELECT unnest(range(1, 66)) AS k)),
+    u0 AS (SELECT user_idx, list_append(p, 1.0) AS p FROM uf), i0 AS (SELECT movie_idx, list_append(q, bi) AS q FROM itf)"""
+    + _gradient_sql("s1", 0, "u0", "i0") + f""",
+    u1 AS (SELECT user_idx, list_append(list_transform(p, lambda x: x * {KEEP}), 1.0) AS p FROM uf),
+    i1l AS (SELECT movie_idx, k, x * {KEEP} - coalesce({FIRST}, 0) AS x, a.g FROM il LEFT JOIN s1_i a USING (movie_idx, k)),
+    i1 AS (SELECT movie_idx, list(x ORDER BY k) AS q FROM i1l GROUP BY 1)""" + _gradient_sql("s2", 1, "u1", "i1") + f"""
+    SELECT 'user' AS side, user_idx AS idx, (k - 1)::BIGINT AS pos, round(CASE WHEN (user_idx // 512) % 2 = 0
+        THEN (x * {KEEP} - coalesce({FIRST}, 0)) * {KEEP}
+        ELSE x * {KEEP} * {KEEP} - coalesce({_step_sql(2, "0.1 * b.g", "0.001 * b.g * b.g")}, 0) END, 5) + 0.0 AS x
+    FROM ul LEFT JOIN s1_u a USING (user_idx, k) LEFT JOIN s2_u b USING (user_idx, k)
+    UNION ALL SELECT 'movie', movie_idx, (k - 1)::BIGINT, round(x * {KEEP} - coalesce(
+        {_step_sql(2, "0.9 * 0.1 * coalesce(i1l.g, 0) + 0.1 * b.g", "0.999 * 0.001 * coalesce(i1l.g * i1l.g, 0) + 0.001 * b.g * b.g")}, 0), 5) + 0.0
+    FROM i1l LEFT JOIN s2_i b USING (movie_idx, k)""")
+def _(t: Tables):
+    """Factors and movie biases after two steps from the visible ones."""
+    start = visible_factors(t)
+    model = pairwise.bpr_fit(sampler(t), start.users, start.items, TEXT_DIM, t.train.count(), 1, LR, batches=2)
+    sides = [model.users.select(F.lit("user").alias("side"), F.col("user_idx").alias("idx"), F.posexplode("vec").alias("pos", "x")),
+             model.items.select(F.lit("movie").alias("side"), F.col("movie_idx").alias("idx"),
+                                F.posexplode(F.concat("vec", F.array("bias"))).alias("pos", "x"))]
+    return sides[0].unionByName(sides[1]).select(
+        "side", "idx", F.col("pos").cast("bigint").alias("pos"), (F.round("x", 5) + F.lit(0.0)).alias("x"))
+
+
+@query("bpr_history")
 def _(t: Tables):
     return history_rows(t, bpr_model(t).history)
 
 
-@query("lightgcn_fit")
+@query("lightgcn_fit", [*HIST, "edges", "node_vecs"], _trip_cte(43) + f""", out AS MATERIALIZED (SELECT node, list(x ORDER BY pos) AS v FROM (
+        SELECT node, pos, sum(x) / 3 AS x FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2) GROUP BY ALL) GROUP BY 1),
+    nu AS (SELECT count(*)::INTEGER AS n FROM user_map),
+    tn AS MATERIALIZED (SELECT user_idx AS u, pos_idx + (SELECT n FROM nu) AS i, neg_idx + (SELECT n FROM nu) AS j FROM trip),
+    s AS MATERIALIZED (SELECT u, i, j, p, d, -1 / (1 + exp(list_dot_product(p, d))) / count(*) OVER () AS w, count(*) OVER () AS total FROM (
+        SELECT u, i, j, a.v AS p, list_transform(range(1, 65), lambda k: b.v[k] - c.v[k]) AS d
+        FROM tn JOIN out a ON a.node = u JOIN out b ON b.node = i JOIN out c ON c.node = j)),
+    g0 AS MATERIALIZED (SELECT node, k - 1 AS pos, sum(g) AS x, count(*) * any_value(2e-4 / total) AS r FROM (
+        SELECT u AS node, k, w * d[k] AS g, total FROM s, (SELECT unnest(range(1, 65)) AS k) UNION ALL
+        SELECT i, k, w * p[k], total FROM s, (SELECT unnest(range(1, 65)) AS k) UNION ALL
+        SELECT j, k, -w * p[k], total FROM s, (SELECT unnest(range(1, 65)) AS k)) GROUP BY ALL),
+    g1 AS MATERIALIZED (SELECT dst AS node, pos, sum(w * x) AS x FROM adj JOIN g0 ON node = src GROUP BY ALL),
+    g2 AS (SELECT dst AS node, pos, sum(w * x) AS x FROM adj JOIN g1 ON node = src GROUP BY ALL),
+    g AS MATERIALIZED (SELECT node, pos, sum(x) / 3 AS x FROM (SELECT node, pos, x FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY ALL),
+    t AS MATERIALIZED (SELECT e0.node, e0.pos, e0.x, coalesce(g.x, 0) + coalesce(g0.r, 0) * e0.x AS g FROM e0 LEFT JOIN g USING (node, pos) LEFT JOIN g0 USING (node, pos)),
+    f0 AS MATERIALIZED (SELECT node, pos, x - {_step_sql(1, "0.1 * g", "0.001 * g * g")} AS x FROM t),
+    f1 AS MATERIALIZED (SELECT dst AS node, pos, sum(w * x) AS x FROM adj JOIN f0 ON node = src GROUP BY ALL),
+    f2 AS (SELECT dst AS node, pos, sum(w * x) AS x FROM adj JOIN f1 ON node = src GROUP BY ALL)
+    SELECT node, pos, round(sum(x) / 3, 5) + 0.0 AS x FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY ALL""")
+def _(t: Tables):
+    """Propagated vectors after one step from the visible ones."""
+    items = t.item_vectors.select((F.col("movie_idx") + t.n_users).alias("node"), "vec")
+    start = t.history.select(F.col("user_idx").alias("node"), "vec").unionByName(items)
+    model = pairwise.lightgcn_fit(t.sliced_adjacency, start, sampler(t), t.n_users, TEXT_DIM, 2, t.train.count(), 1, LR, batches=1, start=start)
+    both = model.users.select(F.col("user_idx").alias("node"), "vec").unionByName(
+        model.items.select((F.col("movie_idx") + t.n_users).cast("int").alias("node"), "vec"))
+    return long(both, "node", digits=5)
+
+
+@query("lightgcn_history")
 def _(t: Tables):
     return history_rows(t, lightgcn_model(t).history)
 
@@ -292,7 +373,7 @@ def _(t: Tables):
 def _(t: Tables):
     items = t.item_vectors.select((F.col("movie_idx") + t.n_users).alias("node"), "vec")
     nodes = t.history.select(F.col("user_idx").alias("node"), "vec").unionByName(items)
-    out = staged(graph.propagate(t.adjacency, nodes, TEXT_DIM), "propagated").withColumn("bias", F.lit(0.0))
+    out = staged(graph.propagate(t.sliced_adjacency, nodes, TEXT_DIM), "propagated").withColumn("bias", F.lit(0.0))
     users = out.where(F.col("node") < t.n_users).withColumnRenamed("node", "user_idx")
     movies = out.where(F.col("node") >= t.n_users).select((F.col("node") - t.n_users).alias("movie_idx"), "vec", "bias")
     top = score.top_k_dot(users, movies, score.seen_items(t.train))
