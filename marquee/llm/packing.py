@@ -8,6 +8,8 @@ that crosses a boundary gives one record on either side. Tokens are never shuffl
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -22,15 +24,20 @@ from marquee.llm import text as T
 from marquee.llm.streams import column
 from marquee.runtime import staged
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+BATCH_WORDS = 64  # words encoded together
+CAPITAL_AND_MARK = re.compile(rb"[A-Z][^\x00-\x7f]*[\xcc\xcd]")  # U+0300 to U+037F begin with CC or CD
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 class WordIds(dict):
     """Little-endian ids of a lower-cased word, as bytes; forgets everything when it is full.
 
     For tokenizers that drop white space and lower-case, the ids of a text are the ids of its
-    words one after another. A word that ends in a letter and one comma or full stop is those
-    two pieces, and a word of letters ends in the only id that carries the word end.
+    words one after another. A word that ends in a letter or digit and ASCII marks is those
+    two pieces, and a word of letters ends in the only id that carries the word end. Both are
+    judged after what the tokenizer does first, composition and lower-casing: some letters
+    come out of it with a combining mark at the end, which joins a mark that follows.
     """
 
     def __init__(self, path: str):
@@ -44,35 +51,51 @@ class WordIds(dict):
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        stem, mark = self.parts(word)
-        self[word] = ids = self[stem] + self[mark] if mark else self.encode([stem.decode("utf-8", "replace")])
+        stem, marks = self.parts(word)
+        self[word] = ids = self[stem] + self[marks] if marks else self.encode([stem])
         return ids
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
-        if len(word) > 1 and word[-1] in b",." and word[:-1].decode("utf-8", "replace")[-1].isalpha():
-            return word[:-1], word[-1:]
-        return word, b""
-
-    def encode(self, words: list[str]) -> bytes:
-        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        stem = word.rstrip(MARKS)
+        if not stem or len(stem) == len(word):
+            return word, b""
+        end = stem[-1:].isalnum() if stem[-1] < 0x80 else settled(stem)[-1:].isalpha()
+        return (stem, word[len(stem):]) if end else (word, b"")
+
+    def encode(self, words: list[bytes]) -> bytes:
+        ids = self.tokenizer.encode(" ".join(w.decode("utf-8", "replace") for w in words), add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the new words, many at a time."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = {self.parts(w)[0] for w in words if w not in self}
-        new = [w for w in new if w not in self and w.decode("utf-8", "replace").isalpha()]
+        new = {self.parts(w)[0] for w in words.difference(self)}
+        new = [w for w in new.difference(self) if (w.isalpha() if w.isascii() else settled(w).isalpha())]
         width = np.dtype(self.dtype).itemsize
-        for lo in range(0, len(new), 4000):
-            part = new[lo:lo + 4000]
-            ids = self.encode([w.decode() for w in part])
+        for lo in range(0, len(new), BATCH_WORDS):
+            part = new[lo:lo + BATCH_WORDS]
+            ids = self.encode(part)
             cut = ((np.flatnonzero(self.last[np.frombuffer(ids, self.dtype)]) + 1) * width).tolist()
             if len(cut) == len(part):  # otherwise this tokenizer marks word ends in another way
                 self.update((w, ids[b:e]) for w, b, e in zip(part, [0, *cut[:-1]], cut))
 
 
+def folded_words(text: bytes) -> list[bytes]:
+    """Words with A-Z lower-cased, which makes fewer of them, where no combining mark follows a capital.
+
+    The tokenizer composes before it lower-cases, and some capitals compose with a mark that
+    the small letter does not, or the other way round.
+    """
+    return (text if CAPITAL_AND_MARK.search(text) else text.lower()).split()
+
+
+def settled(word: bytes) -> str:
+    """A word as the tokenizer sees it."""
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
+
+
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -89,7 +112,9 @@ def _tokenised(path: str, end_id: int):
             if piece != held:
                 at, row, held = 0, 0, piece
             for chunk in T.chunks(batch.column(1)):
-                found = [chunk.data[lo:hi].tobytes().lower().split() for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:])]
+                texts = (chunk.data[lo:hi].tobytes() for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:]))
+                marked = (chunk.data == 0xCC).any() or (chunk.data == 0xCD).any()
+                found = [folded_words(t) if marked else t.lower().split() for t in texts]
                 words.learn(set().union(*found))
                 ids = [b"".join(map(words.__getitem__, f)) + end for f in found]
                 n = np.array([len(x) // width for x in ids], np.int64)

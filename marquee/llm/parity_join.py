@@ -15,12 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import text as T
 from marquee.llm.components import connected_components
-from marquee.llm.streams import column, dealt, group_bounds, keyed_groups, list_values
+from marquee.llm.streams import column, dealt, group_bounds, keyed_groups
 from marquee.runtime import staged
 
 SKETCH_WORDS = 16       # 64-bit words of the folded sketch
@@ -210,32 +211,44 @@ def _bucket_links(percent: int):
     return run
 
 
-def _member_sets(size: int, columns: list[str]):
+def _packed_texts(columns: list[str]):
+    """Texts compressed, which is far less to shuffle than their shingle sets."""
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for first, values, bounds in _sets(batch, size):
-                for lo in range(0, len(bounds) - 1, 64):
-                    part = bounds[lo:lo + 65]
-                    own = slice(first + lo, first + lo + len(part) - 1)
-                    inner, off = values[part[0]:part[-1]], part - part[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(column(batch, c)[own]) for c in columns]
-                        + [T.int_lists(inner, off), pa.array([p.tobytes() for p in _sketches(inner, off)], pa.binary())],
-                        [*columns, "shingles", "sketch"])
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for chunk in T.chunks(texts):
+                n = len(chunk.bounds) - 1
+                packed = [squeeze.compress(chunk.data[lo:hi].tobytes()) for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column(batch, c)[chunk.first:chunk.first + n]) for c in columns] + [pa.array(packed, pa.binary())],
+                    [*columns, "packed"])
     return run
 
 
-def _verified(percent: int):
+def _unpacked_sets(packed: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts, one text after another, and their offsets."""
+    open_text = zstandard.ZstdDecompressor()
+    values, ends, at = [], [np.zeros(1, np.int64)], 0
+    for part in packed.chunks:
+        texts = pa.array([open_text.decompress(p.as_buffer()) for p in part], pa.large_binary())
+        for _, inner, bounds in _sets(pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), size):
+            values.append(inner)
+            ends.append(bounds[1:] + at)
+            at += len(inner)
+    return np.concatenate(values) if values else np.zeros(0, np.uint64), np.concatenate(ends)
+
+
+def _verified(size: int, percent: int):
     """A spanning forest of the true links of each block pair of a family."""
     keys = ["family", "b1", "b2"]
 
     def run(batches):
         for table in keyed_groups(batches, keys):
-            values, offsets = list_values(table.column("shingles"))
-            values = values.view(np.uint64)
+            values, offsets = _unpacked_sets(table.column("packed"), size)
             ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
             first, second = table.column("b1").to_numpy(), table.column("b2").to_numpy()
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            sketches = _sketches(values, offsets).view(np.uint64)
             n = np.diff(offsets)
             out = []
             for lo, hi in zip(*(lambda x: (x[:-1], x[1:]))(group_bounds(table, keys))):
@@ -290,12 +303,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = (families.join(shape, "family")
               .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
     members = (placed.join(docs, "doc_id").select("doc_id", "text", "family", "block", "blocks")
-               .mapInArrow(_member_sets(size, ["doc_id", "family", "block", "blocks"]),
-                           "doc_id long, family long, block int, blocks int, shingles array<long>, sketch binary"))
+               .mapInArrow(_packed_texts(["doc_id", "family", "block", "blocks"]),
+                           "doc_id long, family long, block int, blocks int, packed binary"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-        "block", "doc_id", "shingles", "sketch")
-    true = dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(_verified(percent), "a long, b long")
+        "block", "doc_id", "packed")
+    true = dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(_verified(size, percent), "a long, b long")
     links = true.unionByName(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(links)
     return (sums.select("doc_id", F.col("n").alias("n_shingles"))

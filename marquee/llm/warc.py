@@ -33,6 +33,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ROLL_BYTES = 256 << 20   # compressed bytes of an archive before the next one is begun
 BLOCK_LINES = 1024       # captures of one compressed index block
 SHARD_BLOCKS = 1024      # blocks of one index shard
+TASK_BYTES = 64 << 20    # compressed bytes of records read by a task
 RUN_BYTES = 4 << 20      # neighbouring records are read together up to this size
 HOT_SHARE = 1000         # a payload with more than this part of all repeated rows is matched by broadcast
 
@@ -166,6 +167,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 class Archive:
     folder: str
     captures: DataFrame     # one row per record
+    bytes: int              # of all records
     shards: list[tuple]     # (first key, first page id, shard) in order, one per up to a million captures
 
 
@@ -189,7 +191,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     order = ["key", "page_id", "file", "offset"]
     shards = (captures.repartitionByRange(*order).sortWithinPartitions(*order)
               .mapInArrow(_index(folder, block_lines, shard_blocks), "key string, page_id long, shard string").collect())  # one row per shard
-    return Archive(folder, captures, sorted((r.key, _rank(r.page_id), r.shard) for r in shards))
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return Archive(folder, captures, size, sorted((r.key, _rank(r.page_id), r.shard) for r in shards))
 
 
 def _rank(page_id: int | None) -> int:
@@ -366,7 +369,10 @@ def read_records(archive: Archive, captures: DataFrame) -> DataFrame:
     the full payload and the response's id, and a null payload. A capture that is given
     twice is read twice.
     """
-    return (captures.select("file", "offset", "length").repartitionByRange("file", "offset")
+    spark = captures.sparkSession
+    # dealt by the archives' bytes: the rows themselves are few, and would be put into one task
+    parts = max(spark.sparkContext.defaultParallelism, -(-archive.bytes // TASK_BYTES))
+    return (captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset")
             .sortWithinPartitions("file", "offset").mapInArrow(_records(archive.folder), RECORDS))
 
 
