@@ -24,7 +24,7 @@ from marquee.llm import text as T
 from marquee.llm.streams import column
 from marquee.runtime import staged
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 BATCH_WORDS = 64  # words encoded together
 CAPITAL_AND_MARK = re.compile(rb"[A-Z][^\x00-\x7f]*[\xcc\xcd]")  # U+0300 to U+037F begin with CC or CD
 MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())

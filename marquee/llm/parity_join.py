@@ -226,13 +226,26 @@ def _packed_texts(columns: list[str]):
     return run
 
 
+def _unpacked(packed: pa.ChunkedArray, open_text: zstandard.ZstdDecompressor) -> Iterator[list[bytes]]:
+    """Texts, a bounded number of bytes at a time (a longer text alone)."""
+    held, size = [], 0
+    for part in packed.chunks:
+        for i in range(len(part)):
+            held.append(open_text.decompress(part[i].as_buffer()))
+            size += len(held[-1])
+            if size >= T.CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _unpacked_sets(packed: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts, one text after another, and their offsets."""
-    open_text = zstandard.ZstdDecompressor()
     values, ends, at = [], [np.zeros(1, np.int64)], 0
-    for part in packed.chunks:
-        texts = pa.array([open_text.decompress(p.as_buffer()) for p in part], pa.large_binary())
-        for _, inner, bounds in _sets(pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), size):
+    for texts in _unpacked(packed, zstandard.ZstdDecompressor()):
+        own = pa.array(texts, pa.large_binary())
+        for _, inner, bounds in _sets(pa.RecordBatch.from_arrays([own, own], ["id", "text"]), size):
             values.append(inner)
             ends.append(bounds[1:] + at)
             at += len(inner)
