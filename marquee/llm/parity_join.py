@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from marquee.runtime import staged
 SKETCH_WORDS = 16       # 64-bit words of the folded sketch
 FEW = 2                 # a part with fewer shingles than this says too little to be a key
 BLOCK_DOCS = 512        # documents, and
-BLOCK_SHINGLES = 1 << 20  # shingles of one block in a verification task
+BLOCK_SHINGLES = 1 << 22  # shingles of one block in a verification task
+RUN_BYTES = 1 << 20     # packed text of small families verified together
 
 
 def largest_difference(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -258,34 +260,46 @@ def _verified(size: int, percent: int):
 
     def run(batches):
         for table in keyed_groups(batches, keys):
-            values, offsets = _unpacked_sets(table.column("packed"), size)
-            ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
-            first, second = table.column("b1").to_numpy(), table.column("b2").to_numpy()
-            sketches = _sketches(values, offsets).view(np.uint64)
-            n = np.diff(offsets)
-            out = []
-            for lo, hi in zip(*(lambda x: (x[:-1], x[1:]))(group_bounds(table, keys))):
-                forest = Forest(hi - lo)
-                for i in range(lo, hi - 1):
-                    others = np.arange(i + 1, hi)
-                    if first[lo] != second[lo]:
-                        others = others[block[others] != block[i]]
-                    mine = values[offsets[i]:offsets[i + 1]]
-                    for j in _close(sketches, n, i, others, percent):
-                        if forest.find(i - lo) == forest.find(j - lo):
-                            continue
-                        theirs = values[offsets[j]:offsets[j + 1]]
-                        at = np.searchsorted(theirs, mine)
-                        both = int((theirs[np.minimum(at, len(theirs) - 1)] == mine).sum())
-                        if 100 * both >= percent * (len(mine) + len(theirs) - both):
-                            forest.join(i - lo, j - lo)
-                out += [(ids[lo + i], ids[lo + j]) for i, j in forest.edges]
-            if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            bounds = group_bounds(table, keys)
+            size_before = np.append(0, np.cumsum(pc.binary_length(table.column("packed")).to_numpy().astype(np.int64)))
+            at = 0
+            while at < len(bounds) - 1:  # as many groups at a time as have about a megabyte of packed text
+                to = max(at + 1, int(np.searchsorted(size_before[bounds], size_before[bounds[at]] + RUN_BYTES, "right")) - 1)
+                links = _true_links(table.slice(int(bounds[at]), int(bounds[to] - bounds[at])), bounds[at:to + 1] - bounds[at], size, percent)
+                if links:
+                    a, b = zip(*links)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                at = to
     return run
 
 
+def _true_links(table: pa.Table, bounds: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of each group."""
+    values, offsets = _unpacked_sets(table.column("packed"), size)
+    ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+    first, second = table.column("b1").to_numpy(), table.column("b2").to_numpy()
+    sketches = _sketches(values, offsets).view(np.uint64)
+    n = np.diff(offsets)
+    out = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        forest = Forest(hi - lo)
+        for i in range(lo, hi - 1):
+            others = np.arange(i + 1, hi)
+            if first[lo] != second[lo]:
+                others = others[block[others] != block[i]]
+            mine = values[offsets[i]:offsets[i + 1]]
+            for j in _close(sketches, n, i, others, percent):
+                if forest.find(i - lo) == forest.find(j - lo):
+                    continue
+                theirs = values[offsets[j]:offsets[j + 1]]
+                at = np.searchsorted(theirs, mine)
+                both = int((theirs[np.minimum(at, len(theirs) - 1)] == mine).sum())
+                if 100 * both >= percent * (len(mine) + len(theirs) - both):
+                    forest.join(i - lo, j - lo)
+        out += [(ids[lo + i], ids[lo + j]) for i, j in forest.edges]
+    return out
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: groups of documents linked by Jaccard similarity.
