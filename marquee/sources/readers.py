@@ -35,8 +35,8 @@ def typed_links(raw: DataFrame) -> DataFrame:
     """Link ids as numbers; text that is not a number becomes null."""
     return raw.select(
         F.col("movieId").cast("int").alias("movie_id"),
-        F.col("imdbId").try_cast("double").cast("bigint").alias("imdb_id"),
-        F.col("tmdbId").try_cast("double").cast("bigint").alias("tmdb_id"),
+        F.col("imdbId").try_cast("double").try_cast("bigint").alias("imdb_id"),
+        F.col("tmdbId").try_cast("double").try_cast("bigint").alias("tmdb_id"),
     )
 
 
@@ -61,7 +61,7 @@ def read_tmdb(spark: SparkSession, path: str) -> DataFrame:
 def typed_tmdb(raw: DataFrame) -> DataFrame:
     """Numeric ids only (rows without one are dropped); a missing overview is empty text."""
     typed = raw.select(
-        F.col("id").try_cast("double").cast("bigint").alias("tmdb_id"),
+        F.col("id").try_cast("double").try_cast("bigint").alias("tmdb_id"),
         "title",
         F.coalesce("overview", F.lit("")).alias("overview"),
         "release_date",

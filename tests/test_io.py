@@ -85,3 +85,9 @@ def test_split_folders(spark, tmp_path, split):
     df = spark.createDataFrame([(0, "train"), (1, "val"), (2, "test")], "user_idx int, split string")
     sinks.write_splits(df, str(tmp_path / "s"))
     assert spark.read.parquet(f"{tmp_path}/s/split={split}").count() == 1
+
+
+def test_link_ids_that_are_no_bigint_become_null(spark):
+    rows = [("1", "nan", "1e300"), ("2", "0114709", "inf"), ("3", "12.0", "junk"), ("4", None, "-inf")]
+    got = readers.typed_links(spark.createDataFrame(rows, "movieId string, imdbId string, tmdbId string")).collect()
+    assert [(r.movie_id, r.imdb_id, r.tmdb_id) for r in got] == [(1, None, None), (2, 114709, None), (3, 12, None), (4, None, None)]
