@@ -30,6 +30,7 @@ FEW = 2                 # a part with fewer shingles than this says too little t
 BLOCK_DOCS = 512        # documents, and
 BLOCK_SHINGLES = 1 << 22  # shingles of one block in a verification task
 RUN_BYTES = 1 << 20     # packed text of small families verified together
+HUBS = 8                # about so many members of a large family visit all its blocks
 
 
 def largest_difference(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -155,25 +156,6 @@ def _shared(batches):
                 yield b
 
 
-class Forest:
-    """Union-find over positions; keeps the edges that joined two trees."""
-
-    def __init__(self, n: int):
-        self.root, self.edges = list(range(n)), []
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.root[b] = a
-            self.edges.append((i, j))
-
-
 def _close(sketches: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Those of ``others`` whose size and sketch allow a link with document i."""
     lo, hi = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
@@ -213,19 +195,16 @@ def _bucket_links(percent: int):
     return run
 
 
-def _packed_texts(columns: list[str]):
+def _packed_texts(batches):
     """Texts compressed, which is far less to shuffle than their shingle sets."""
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            for chunk in T.chunks(texts):
-                n = len(chunk.bounds) - 1
-                packed = [squeeze.compress(chunk.data[lo:hi].tobytes()) for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column(batch, c)[chunk.first:chunk.first + n]) for c in columns] + [pa.array(packed, pa.binary())],
-                    [*columns, "packed"])
-    return run
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        ids = column(batch, "doc_id")
+        for chunk in T.chunks(batch.column(batch.schema.get_field_index("text"))):
+            n = len(chunk.bounds) - 1
+            packed = [squeeze.compress(chunk.data[lo:hi].tobytes()) for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[chunk.first:chunk.first + n]), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
 
 def _unpacked(packed: pa.ChunkedArray, open_text: zstandard.ZstdDecompressor) -> Iterator[list[bytes]]:
@@ -274,32 +253,84 @@ def _verified(size: int, percent: int):
 
 
 def _true_links(table: pa.Table, bounds: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of each group."""
+    """Links of each group that join different known components (``comp``), a forest of them."""
     values, offsets = _unpacked_sets(table.column("packed"), size)
-    ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+    ids, block, comp = (table.column(c).to_numpy() for c in ("doc_id", "block", "comp"))
     first, second = table.column("b1").to_numpy(), table.column("b2").to_numpy()
     sketches = _sketches(values, offsets).view(np.uint64)
     n = np.diff(offsets)
     out = []
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        forest = Forest(hi - lo)
+        tree = np.unique(comp[lo:hi], return_inverse=True)[1]
         for i in range(lo, hi - 1):
-            others = np.arange(i + 1, hi)
+            others = i + 1 + np.flatnonzero(tree[i + 1 - lo:] != tree[i - lo])
             if first[lo] != second[lo]:
                 others = others[block[others] != block[i]]
             mine = values[offsets[i]:offsets[i + 1]]
             for j in _close(sketches, n, i, others, percent):
-                if forest.find(i - lo) == forest.find(j - lo):
+                if tree[i - lo] == tree[j - lo]:
                     continue
                 theirs = values[offsets[j]:offsets[j + 1]]
                 at = np.searchsorted(theirs, mine)
                 both = int((theirs[np.minimum(at, len(theirs) - 1)] == mine).sum())
                 if 100 * both >= percent * (len(mine) + len(theirs) - both):
-                    forest.join(i - lo, j - lo)
-        out += [(ids[lo + i], ids[lo + j]) for i, j in forest.edges]
+                    tree[tree == tree[j - lo]] = tree[i - lo]
+                    out.append((ids[i], ids[j]))
     return out
 
 
+def _blocks(docs: str, shingles: str):
+    """Blocks that hold so many documents and shingles."""
+    return F.greatest(F.lit(1), F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _family_links(families: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that span the true components of each family.
+
+    A family is cut into blocks. First each block is verified alone, together with a few
+    hubs that visit every block of their family, so each text travels once. That settles a
+    family whose members all come out linked. In the others the largest component stays
+    apart: its blocks meet only the blocks of the remaining members, which also meet each
+    other, and pairs known to be linked are not compared again.
+    """
+    def verified(spread: DataFrame) -> DataFrame:
+        return dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(_verified(size, percent), "a long, b long")
+
+    members = families.join(heads.select("doc_id", "n"), "doc_id")
+    shape = (members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+             .withColumn("blocks", _blocks("docs", "shingles"))
+             .withColumn("rare", F.greatest(F.ceil(F.col("docs") / HUBS), F.ceil(4 * F.col("shingles") / BLOCK_SHINGLES))))
+    shape = staged(shape, "parity-shapes")
+    hub = (F.col("doc_id") == F.col("family")) | (F.expr("pmod(xxhash64(doc_id, 1), rare)") == 0)
+    placed = (families.join(shape, "family").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+              .join(texts, "doc_id")
+              .withColumn("b1", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))))
+    first = staged(verified(placed.select("family", "b1", F.col("b1").alias("b2"), "block", "doc_id",
+                                          F.col("doc_id").alias("comp"), "packed")), "parity-links")
+
+    known = connected_components(first).select(F.col("node").alias("doc_id"), "component")
+    labelled = (members.join(shape.where("blocks > 1").select("family"), "family").join(known, "doc_id", "left")
+                .select("doc_id", "family", "n", F.coalesce("component", "doc_id").alias("comp")))
+    parts = labelled.groupBy("family", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    size_of = F.struct("docs", "comp")
+    split = (parts.groupBy("family").agg(
+        F.count("*").alias("pieces"), F.max_by("comp", size_of).alias("main"), F.max("docs").alias("main_docs"),
+        F.max_by("shingles", size_of).alias("main_shingles"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+        .where("pieces > 1")
+        .withColumns({"rest_docs": F.expr("docs - main_docs"), "rest_shingles": F.expr("shingles - main_shingles")})
+        .select("family", "main", _blocks("main_docs", "main_shingles").alias("p"), _blocks("rest_docs", "rest_shingles").alias("q")))
+    left = staged(labelled.join(split, "family").select("doc_id", "family", "comp", (F.col("comp") == F.col("main")).alias("in_main"), "p", "q"),
+                  "parity-open")
+    if left.isEmpty():
+        return first
+    own = F.expr("cast(if(in_main, pmod(xxhash64(doc_id), p), p + pmod(xxhash64(doc_id), q)) as int)")
+    meets = F.expr("explode(sequence(if(in_main, p, 0), p + q - 1))")
+    spread = left.withColumn("block", own).join(texts, "doc_id").withColumn("other", meets).select(
+        "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
+        "block", "doc_id", "comp", "packed")
+    return first.unionByName(verified(spread))
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: groups of documents linked by Jaccard similarity.
@@ -325,17 +356,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     families = staged(connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family")),
                       "parity-families")
 
-    shape = (families.join(heads.select("doc_id", "n"), "doc_id").groupBy("family")
-             .agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    placed = (families.join(shape, "family")
-              .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
-    members = (placed.join(docs, "doc_id").select("doc_id", "text", "family", "block", "blocks")
-               .mapInArrow(_packed_texts(["doc_id", "family", "block", "blocks"]),
-                           "doc_id long, family long, block int, blocks int, packed binary"))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-        "block", "doc_id", "packed")
-    true = dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(_verified(size, percent), "a long, b long")
+    texts = named.mapInArrow(_packed_texts, "doc_id long, packed binary")
+    true = _family_links(families, heads, texts, size, percent)
     links = true.unionByName(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(links)
     return (sums.select("doc_id", F.col("n").alias("n_shingles"))
