@@ -31,29 +31,46 @@ def kcore_filter(
 ) -> DataFrame:
     """Largest subset where every user and every movie keeps enough ratings.
 
-    A round drops rare movies, recounts, then drops rare users. Only the dropped keys are
-    kept between rounds, as stage tables whose known size lets Spark broadcast them while
-    they are small; the ratings are never rewritten. ``df`` should be a stored table,
-    since every round scans it.
+    Supports are counted once. A half round drops the keys whose support fell below the
+    threshold and takes their rows off the other side's supports: one semi join of the log
+    with the newly dropped keys, and none when no key falls. Only keys that lost rows are
+    looked at again. The ratings are never rewritten; ``df`` should be a stored table.
+    A null key is never dropped itself.
     """
     spark = df.sparkSession
-    dead = {
-        "movie_id": spark.createDataFrame([], df.select("movie_id").schema),
-        "user_id": spark.createDataFrame([], df.select("user_id").schema),
-    }
-    while True:
-        lost = 0
-        for key, k in (("movie_id", min_item), ("user_id", min_user)):
-            counts = _alive(df, dead).groupBy(key).agg(F.count("*").alias("_n"))
-            rare = staged(counts.where(F.col("_n") < k), "kcore-rare")
-            n_rows = rare.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-            if n_rows:
-                dead[key] = staged(dead[key].unionByName(rare.select(key)), "kcore-dropped")
+    sides = (("movie_id", "user_id", min_item), ("user_id", "movie_id", min_user))
+    support = {key: staged(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), "kcore-support")
+               for key, _, _ in sides}
+    dead = {key: spark.createDataFrame([], df.select(key).schema) for key, _, _ in sides}
+    lost: dict[str, DataFrame] = {}
+    first, dropped = {"movie_id", "user_id"}, True
+    while dropped:
+        dropped = False
+        for key, other, k in sides:
+            rows = 0
+            fallen = _below(support[key], lost.get(key), key, k, every=key in first)
+            first.discard(key)
+            fallen = staged(fallen.join(dead[key], key, "left_anti"), "kcore-rare")
+            if not fallen.isEmpty():
+                gone = (df.select(key, other).join(fallen, key, "left_semi").join(dead[other], other, "left_anti")
+                        .groupBy(other).agg(F.count("*").alias("_lost")))
+                gone = staged(gone, "kcore-lost")
+                rows = gone.agg(F.coalesce(F.sum("_lost"), F.lit(0))).first()[0]
+                dead[key] = staged(dead[key].unionByName(fallen), "kcore-dropped")
+                lost[other] = gone if other not in lost else staged(
+                    lost[other].unionByName(gone).groupBy(other).agg(F.sum("_lost").alias("_lost")), "kcore-lost")
             if trace is not None:
-                trace.append({"key": key, "rows_dropped": n_rows})
-            lost += n_rows
-        if lost == 0:
-            return _alive(df, dead)
+                trace.append({"key": key, "rows_dropped": rows})
+            dropped = dropped or rows > 0
+    return _alive(df, dead)
+
+
+def _below(support: DataFrame, lost: DataFrame | None, key: str, k: int, every: bool) -> DataFrame:
+    """Keys with fewer than ``k`` rows left: of all keys, or of those that lost rows."""
+    if lost is None:
+        return (support if every else support.limit(0)).where(F.col("_n") < k).select(key)
+    left = F.col("_n") - F.coalesce("_lost", F.lit(0))
+    return support.join(lost, key, "left" if every else "inner").where(left < k).select(key)
 
 
 def _alive(df: DataFrame, dead: dict[str, DataFrame]) -> DataFrame:

@@ -118,3 +118,21 @@ def test_preprocess_invariants(spark):
     means = prep.part_of("train").groupBy("user_idx").agg(F.avg("rating_centered").alias("m"))
     assert means.where(F.abs("m") > 1e-9).count() == 0
     assert stats.n_cold == prep.cold.count()
+
+
+def test_kcore_peels_a_chain_and_keeps_null_keys(spark):
+    """Each half round frees the next key; a null key is never dropped itself."""
+    pairs = [(u, m) for u in range(12) for m in range(u, u + 2)] + [(u, m) for u in (90, 91, 92) for m in (90, 91, 92)]
+    rows = [(u, m, 3.0, 0) for u, m in pairs] + [(None, 90, 1.0, 0), (93, None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "user_id int, movie_id int, rating double, timestamp long").repartition(3)
+    alive = {(u, m) for u, m, _, _ in rows}
+    while True:
+        before = set(alive)
+        for at in (1, 0):
+            have = {p[at]: sum(q[at] == p[at] for q in alive) for p in alive}
+            alive = {p for p in alive if p[at] is None or have[p[at]] >= 2}
+        if alive == before:
+            break
+    trace = []
+    got = {(r.user_id, r.movie_id) for r in prepare.kcore_filter(df, 2, 2, trace).collect()}
+    assert got == alive and sum(t["rows_dropped"] for t in trace) == len(rows) - len(alive)
