@@ -17,7 +17,7 @@ from marquee.operators.sampling import TripletSampler, val_triplets
 from marquee.plans.feature_engineering import Features
 from marquee.plans.preprocess import Preprocessed
 from marquee.runtime import staged
-from marquee.sources.sinks import load_factors, save_factors
+from marquee.sources import model_store
 
 MODELS = ("als", "bpr", "easr", "hybrid", "twotower", "lightgcn")
 
@@ -46,8 +46,12 @@ class Trained:
     bpr: factors.FactorModel | None = None
     lightgcn: factors.FactorModel | None = None
     ease_weights: DataFrame | None = None
+    ease_block: int = ease.BLOCK
     rankers: dict[str, tuple[content.PairwiseRanker, DataFrame, DataFrame]] = field(default_factory=dict)
 
+    def is_empty(self) -> bool:
+        return not self.rankers and all(m is None for m in (self.als, self.bpr, self.lightgcn, self.ease_weights))
+
 
 def train_models(
     prep: Preprocessed, feats: Features | None, store: str, models=("all",),
@@ -63,10 +67,10 @@ def train_models(
     popularity = staged(prepare.item_popularity(train), "item-popularity")
 
     if "als" in chosen:
-        out.als = _stored(spark, f"{store}/als", als.als_fit(
+        out.als = _stored(spark, store, "als", als.als_fit(
             train, prep.user_map, prep.movie_map, options.rank, options.als_iterations, options.als_reg, seed=options.seed))
     elif chosen & {"bpr", "hybrid"}:
-        out.als = load_factors(spark, f"{store}/als")
+        out.als = _needed(model_store.load_model(spark, store, "als"), "als", store)
 
     sampler = held_out = None
     if chosen & {"bpr", "lightgcn"}:
@@ -75,50 +79,67 @@ def train_models(
     if "bpr" in chosen:
         users = factors.random_factors(prep.user_map, "user_idx", options.rank, options.seed)
         items = factors.random_factors(prep.movie_map, "movie_idx", options.rank, options.seed + 1)
-        out.bpr = _stored(spark, f"{store}/bpr", pairwise.bpr_fit(
+        out.bpr = _stored(spark, store, "bpr", pairwise.bpr_fit(
             sampler,
             factors.warm_start(users, out.als.users, "user_idx", options.rank, out.als.rank),
             factors.warm_start(items, out.als.items, "movie_idx", options.rank, out.als.rank),
             options.rank, options.samples, options.epochs, options.lr, seed=options.seed, batches=options.batches,
             validation=held_out))
     elif "hybrid" in chosen:
-        out.bpr = load_factors(spark, f"{store}/bpr")
+        out.bpr = _needed(model_store.load_model(spark, store, "bpr"), "bpr", store)
 
     if "easr" in chosen:
         gram = ease.ease_gram(train, n_items, options.ease_block)
-        path = f"{store}/easr"
-        ease.ease_fit(gram, n_items, options.ease_reg, options.ease_block).write.mode("overwrite").parquet(path)
-        out.ease_weights = spark.read.parquet(path)
+        weights = ease.ease_fit(gram, n_items, options.ease_reg, options.ease_block)
+        model_store.save_weights(weights, store, "easr", options.ease_reg, options.ease_block, n_items)
+        _load_weights(spark, store, out)
 
     if chosen & {"hybrid", "twotower"}:
-        _fit_rankers(chosen, train, feats, out, popularity, options, n_genres)
+        _fit_rankers(chosen, train, feats, out, popularity, options, n_genres, store)
 
     if "lightgcn" in chosen:
         adjacency = sliced(graph.sym_normalise(graph.bipartite_edges(train, n_users)))
         nodes = spark.range(n_users + n_items).select(F.col("id").cast("int").alias("node"))
-        out.lightgcn = _stored(spark, f"{store}/lightgcn", pairwise.lightgcn_fit(
+        out.lightgcn = _stored(spark, store, "lightgcn", pairwise.lightgcn_fit(
             adjacency, nodes, sampler, n_users, options.gcn_dim, options.gcn_layers,
             options.samples, options.epochs, options.lr, seed=options.seed, validation=held_out))
     return out
 
 
-def load_models(spark: SparkSession, store: str, models) -> Trained:
-    """The factor models and weights among ``models`` that the store holds."""
-    out = Trained()
+def load_models(spark: SparkSession, store: str, models=("all",)) -> Trained:
+    """Those of ``models`` that the store holds, rankers with their side tables."""
+    chosen, out = set(MODELS) if "all" in models else set(models), Trained()
     for name in ("als", "bpr", "lightgcn"):
-        if name in models:
-            setattr(out, name, load_factors(spark, f"{store}/{name}"))
-    if "easr" in models:
-        out.ease_weights = spark.read.parquet(f"{store}/easr")
+        if name in chosen:
+            setattr(out, name, model_store.load_model(spark, store, name))
+    if "easr" in chosen:
+        _load_weights(spark, store, out)
+    for name in ("hybrid", "twotower"):
+        ranker = model_store.load_ranker(spark, store, name) if name in chosen else None
+        if ranker is not None:
+            out.rankers[name] = ranker
     return out
 
 
-def _stored(spark: SparkSession, path: str, model: factors.FactorModel) -> factors.FactorModel:
-    save_factors(model, path)
-    return load_factors(spark, path)
+def _load_weights(spark: SparkSession, store: str, out: Trained) -> None:
+    found = model_store.load_weights(spark, store, "easr")
+    if found is not None:
+        out.ease_weights, out.ease_block = found[0], found[1]["block"]
+
+
+def _stored(spark: SparkSession, store: str, name: str, model: factors.FactorModel) -> factors.FactorModel:
+    model_store.save_model(model, store, name)
+    return model_store.load_model(spark, store, name)
+
+
+def _needed(model, name: str, store: str):
+    if model is None:
+        raise ValueError(f"{store} holds no fitted {name}; train it first")
+    return model
 
 
-def _fit_rankers(chosen, train, feats: Features, out: Trained, popularity, options: TrainOptions, n_genres: int) -> None:
+def _fit_rankers(chosen, train, feats: Features, out: Trained, popularity, options: TrainOptions, n_genres: int,
+                 store: str) -> None:
     liked = positives(train)
     triplets = staged(TripletSampler(liked, popularity).draw(options.samples, options.seed), "ranker-triplets")
     pop = popularity_minmax(feats.pop, "pop")
@@ -132,4 +153,5 @@ def _fit_rankers(chosen, train, feats: Features, out: Trained, popularity, optio
         profile = content.genre_profile(train, items, n_genres)
         users = staged(content.user_side(feats.history, profile, n_genres, user_extra), f"{name}-users")
         fit = content.hybrid_fit if hybrid else content.pairwise_ranker_fit
-        out.rankers[name] = (fit(triplets, users, items), users, items)
+        model_store.save_ranker(fit(triplets, users, items), users, items, store, name)
+        out.rankers[name] = model_store.load_ranker(train.sparkSession, store, name)

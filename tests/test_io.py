@@ -1,10 +1,14 @@
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
+from marquee.models.content import PairwiseRanker
 from marquee.models.factors import FactorModel
+from marquee.plans.evaluate import evaluate_store
+from marquee.plans.train import load_models
 from marquee.runtime import checkpoint_root
-from marquee.sources import readers, sinks
+from marquee.sources import model_store, readers, sinks
 
 
 def write(path: Path, text: str) -> str:
@@ -91,3 +95,42 @@ def test_link_ids_that_are_no_bigint_become_null(spark):
     rows = [("1", "nan", "1e300"), ("2", "0114709", "inf"), ("3", "12.0", "junk"), ("4", None, "-inf")]
     got = readers.typed_links(spark.createDataFrame(rows, "movieId string, imdbId string, tmdbId string")).collect()
     assert [(r.movie_id, r.imdb_id, r.tmdb_id) for r in got] == [(1, None, None), (2, 114709, None), (3, 12, None), (4, None, None)]
+
+
+def tiny_model(spark, scale):
+    users = spark.createDataFrame([(0, [scale, 2.0], 0.5)], "user_idx int, vec array<double>, bias double")
+    items = spark.createDataFrame([(3, [2.0, scale], 0.1)], "movie_idx int, vec array<double>, bias double")
+    return FactorModel(users, items, 2, 0.25, {"reg": 0.1, "iterations": 3}, [1.0, 0.5], [0.9])
+
+
+def test_model_store_reads_the_newest_committed_version(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert model_store.load_model(spark, store, "als") is None
+    model_store.save_model(tiny_model(spark, 1.0), store, "als")
+    old = model_store.load_model(spark, store, "als")
+    model_store.save_model(tiny_model(spark, 7.0), store, "als")
+    tiny_model(spark, 9.0).users.write.parquet(f"{store}/als/half-written/users")  # a save that died before its manifest row
+    back, want = model_store.load_model(spark, store, "als"), tiny_model(spark, 7.0)
+    assert (back.rank, back.mean, back.params, back.history, back.val_history) == (
+        2, 0.25, {"reg": 0.1, "iterations": 3}, [1.0, 0.5], [0.9])
+    assert back.users.collect() == want.users.collect() and back.items.collect() == want.items.collect()
+    assert old.users.first().vec == [1.0, 2.0]
+
+
+def test_rankers_and_weights_in_the_store(spark, tmp_path):
+    store, model = str(tmp_path / "store"), tiny_model(spark, 1.0)
+    ranker = PairwiseRanker(("text", "genre"), {"text": 0.5, "genre": -1.25, "pop": 0.1})
+    model_store.save_ranker(ranker, model.users, model.items, store, "hybrid")
+    model_store.save_weights(model.items, store, "easr", 300.0, 512, 7)
+    trained = load_models(spark, store)
+    back, users, items = trained.rankers["hybrid"]
+    assert back == ranker and users.collect() == model.users.collect() and items.collect() == model.items.collect()
+    assert trained.ease_block == 512 and trained.ease_weights.collect() == model.items.collect()
+    assert trained.als is None and "twotower" not in trained.rankers
+    assert model_store.load_weights(spark, store, "easr")[1] == {"reg": 300.0, "block": 512, "n_items": 7}
+
+
+def test_evaluation_of_an_empty_store_is_refused(spark, tmp_path):
+    prep = SimpleNamespace(user_map=spark.range(1))
+    with pytest.raises(ValueError, match="no fitted model"):
+        evaluate_store(prep, str(tmp_path / "none"))

@@ -78,19 +78,26 @@ CTES["report"] = "report AS (SELECT * FROM pop_report UNION ALL SELECT * FROM co
 REPORT = [*HIST, "content", "pop_top", "truth", "pop_report", "content_report", "report"]
 
 
-def popularity_top(t: Tables):
+def popularity_factors(t: Tables):
     """Popularity as a rank-1 factor model, so it shares the block scorer."""
     users = t.user_map.select("user_idx", F.array(F.lit(1.0)).alias("vec"), F.lit(0.0).alias("bias"))
     counts = t.train.groupBy("movie_idx").agg(F.count("*").cast("double").alias("cnt"))
     items = t.movie_map.join(counts, "movie_idx", "left").select(
         "movie_idx", F.array(F.coalesce("cnt", F.lit(0.0))).alias("vec"), F.lit(0.0).alias("bias"))
-    return score.top_k_dot(users, items, score.seen_items(t.train))
+    return users, items
 
 
-def content_top(t: Tables):
+def popularity_top(t: Tables):
+    return score.top_k_dot(*popularity_factors(t), score.seen_items(t.train))
+
+
+def content_factors(t: Tables):
     users = t.history.select("user_idx", V.scaled(F.col("vec"), F.lit(5.0)).alias("vec"), F.lit(0.0).alias("bias"))
-    items = t.item_vectors.withColumn("bias", F.lit(0.0))
-    return score.top_k_dot(users, items, score.seen_items(t.train))
+    return users, t.item_vectors.withColumn("bias", F.lit(0.0))
+
+
+def content_top(t: Tables):
+    return score.top_k_dot(*content_factors(t), score.seen_items(t.train))
 
 
 def report_of(t: Tables):

@@ -13,10 +13,10 @@ from marquee.plans import evaluate as evaluate_plan
 from marquee.plans import train as train_plan
 from marquee.plans.feature_engineering import build_features
 from marquee.runtime import checkpoint_root, staged
-from marquee.sources import sinks
+from marquee.sources import model_store, sinks
 from workload.adapter import TEXT_DIM, VOCAB, Tables
 from workload.feature_queries import (
-    _VOCAB_SQL, CONTENT, HIST, ITEM_IMDB, REPORT, _triplet_sql, long, popularity_top, report_of,
+    _VOCAB_SQL, CONTENT, HIST, ITEM_IMDB, REPORT, _triplet_sql, content_factors, long, popularity_factors, popularity_top, report_of,
 )
 from workload.oracles import CTES, MAPS, TRAIN
 from workload.registry import query
@@ -454,6 +454,28 @@ def _(t: Tables):
     return long(sinks.load_factors(t.spark, path).users, "user_idx")
 
 
+@query("model_store", FACTORS, """SELECT round(sqrt(avg(pow(rating_centered - (bu + bi + list_dot_product(p, q)), 2))), 6) AS rmse
+    FROM train JOIN uf USING (user_idx) JOIN itf USING (movie_idx)""")
+def _(t: Tables):
+    """RMSE of a stored model: users and movies of the newest of two versions."""
+    store, model = folder(t, "versions"), visible_factors(t)
+    blank = model.users.withColumn("vec", V.zeros(TEXT_DIM))
+    model_store.save_model(factors.FactorModel(blank, model.items, TEXT_DIM), store, "als")
+    model_store.save_model(model, store, "als")
+    return factors.rmse(t.train, model_store.load_model(t.spark, store, "als")).withColumn("rmse", F.round("rmse", 6))
+
+
+@query("evaluate_store", REPORT, """SELECT CASE model WHEN 'Popularity' THEN 'ALS' ELSE 'BPR' END AS model, segment, metric,
+    round(value, 6) AS value FROM report""")
+def _(t: Tables):
+    """The report of two stored factor models, evaluated from the store alone and read back."""
+    store, path = folder(t, "stored-models"), folder(t, "stored-report")
+    model_store.save_model(factors.FactorModel(*popularity_factors(t), 1), store, "als")
+    model_store.save_model(factors.FactorModel(*content_factors(t), TEXT_DIM), store, "bpr")
+    evaluate_plan.evaluate_store(t.prepared, store, report_path=path)
+    return sinks.read_report(t.spark, path).withColumn("value", F.round("value", 6))
+
+
 @query("cached_or_compute", TRAIN, "SELECT movie_idx, count(*) AS cnt FROM train GROUP BY 1")
 def _(t: Tables):
     path = folder(t, "cached")
@@ -472,14 +494,16 @@ def _(t: Tables):
 
 @_once
 def trained(t: Tables):
+    """The fitted models and the store that holds them."""
+    store = folder(t, "models")
     return train_plan.train_models(
-        t.prepared, feature_tables(t), folder(t, "models"), options=OPTIONS, n_genres=len(VOCAB))
+        t.prepared, feature_tables(t), store, options=OPTIONS, n_genres=len(VOCAB)), store
 
 
 @query("train")
 def _(t: Tables):
     """Training curves of the stored models."""
-    models = trained(t)
+    models, _ = trained(t)
     rows = [
         (name, epoch + 1, float(value))
         for name in ("als", "bpr", "lightgcn") for epoch, value in enumerate(getattr(models, name).history)]
@@ -488,5 +512,6 @@ def _(t: Tables):
 
 @query("evaluate")
 def _(t: Tables):
-    return evaluate_plan.evaluate_models(t.prepared, trained(t), "val", folder(t, "eval"), OPTIONS).withColumn(
+    """Report of all models, read back from the store."""
+    return evaluate_plan.evaluate_store(t.prepared, trained(t)[1], split="val", report_path=folder(t, "eval")).withColumn(
         "value", F.round("value", 4))
