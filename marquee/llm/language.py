@@ -2,9 +2,13 @@
 
 A text is the mean of the embeddings of its words' character n-grams and of the words
 themselves. Embeddings and output layer are trained together by stochastic gradient descent
-in numpy on a bounded sample of labelled rows, and a temperature and a rejection threshold
-are fitted on rows left out of training. For prediction the two layers are multiplied out,
-so a word adds one small vector of class scores.
+in numpy on a bounded sample of labelled rows, and a temperature is fitted on rows left out of
+training. For prediction the two layers are multiplied out, so a word adds one small vector of
+class scores.
+
+A softmax only shares its trust among the learned languages, so rejection has a second sign:
+the character 4-grams of a text that no training text holds. How many a text of a learned
+language has is calibrated on the rows left out as well.
 """
 
 from __future__ import annotations
@@ -18,13 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import text as T
+from marquee.llm.held import free_held
 from marquee.runtime import staged
 
 BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
 CACHE_CELLS = 13 * 400_000   # words times (languages + 1) of a task's cache
+CHUNK_BYTES = 1 << 20   # of texts predicted together
 LEAST_STEPS = 900   # of the optimiser, however few rows are labelled
+SEEN_BITS = 22      # the table of known 4-grams has 2**22 bits
+QUANTILE = 0.005    # of the calibration texts may lie beyond a threshold before its margin
+LEAST_UNSEEN = 0.05  # share of 4-grams that any text may miss
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -33,6 +42,8 @@ class Model(NamedTuple):
     scores: np.ndarray     # (BUCKETS, classes), calibrated
     bias: np.ndarray       # (classes,)
     reject_below: float
+    seen: np.ndarray       # packed bits: 4-grams of the training texts
+    unseen_share: float    # of a text's 4-grams that a learned language may miss
 
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -43,8 +54,11 @@ def split_words(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of each word and of its character n-grams, with a mark at both ends."""
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(word, hash) of each word and of its character n-grams, with a mark at both ends.
+
+    The longest n-grams come last, from the place returned on.
+    """
     data = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)
     ends = np.cumsum([len(w) + 2 for w in words])
     begins = np.append(0, ends[:-1])
@@ -57,8 +71,39 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         inside = (of[:-n] == of[n:]) | (hi == ends[np.minimum(of[:-n], len(ends) - 1)])
         rows.append(of[:-n][inside])
         hashes.append(prefix.of(lo[inside], hi[inside]))
-    bucket = (T.mix(np.concatenate(hashes)) >> np.uint64(64 - 16)).astype(np.int64)
-    return np.concatenate(rows), bucket
+    return np.concatenate(rows), T.mix(np.concatenate(hashes)), sum(map(len, rows[:-1]))
+
+
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each word and of its n-grams."""
+    rows, hashes, _ = grams(words)
+    return rows, _bucket(hashes)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 16)).astype(np.int64)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << SEEN_BITS) - 1)).astype(np.int64)
+
+
+def _is_seen(seen: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (seen[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+
+
+def _long_grams(raw: bytes) -> np.ndarray:
+    """Slots of a text's 4-grams, each word counted once."""
+    found = sorted(set(split_words(raw)))
+    if not found:
+        return np.zeros(0, np.int64)
+    _, hashes, at = grams(found)
+    return _slot(hashes[at:])
+
+
+def too_strange(missed: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """More unseen 4-grams than ``share`` and three standard deviations, so that short texts get room."""
+    return missed > share * total + 3 * np.sqrt(share * (1 - share) * total) + 1
 
 
 def _bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -77,13 +122,14 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float = 4.
     """Train on every fifth row left out, then calibrate on those.
 
     Each text gives two examples: whole, and a run of at most twenty of its words, so that
-    short texts are learned as well. The rejection threshold is ``margin`` times the lowest
-    calibrated score of a whole calibration text that is labelled right, and at most
-    ``margin`` / 2: a text in two languages is kept.
+    short texts are learned as well. There are two rejection thresholds, both from quantiles of
+    the whole calibration texts that are labelled right: ``margin`` times a low calibrated
+    score, at most ``margin`` / 2 so that a text in two languages is kept, and a high share of
+    4-grams unseen in training, divided by ``margin``.
     """
     names = sorted(set(labels))
     if not names:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 0.0)
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 0.0, np.zeros(1 << SEEN_BITS - 3, np.uint8), 1.0)
     rng = np.random.default_rng(seed)
     short = []
     for raw in texts:
@@ -124,8 +170,19 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float = 4.
     scale = scales[int(np.argmin(losses))]
     sure = _softmax(logits * scale)
     whole = (check < len(texts)) & (sure.argmax(axis=1) == y[check])
-    floor = float(sure.max(axis=1)[whole].min()) if whole.any() else 0.0
-    return Model(names, (table * scale).astype(np.float32), (bias * scale).astype(np.float64), margin * min(0.5, floor))
+    floor = float(np.quantile(sure.max(axis=1)[whole], QUANTILE)) if whole.any() else 0.0
+
+    own = [_long_grams(raw) for raw in texts]
+    left_out = held[:len(texts)]
+    seen = np.zeros(1 << SEEN_BITS, bool)
+    for r in np.flatnonzero(~left_out if left_out.any() else np.zeros(len(texts), bool)):
+        seen[own[r]] = True
+    missing = [1 - seen[own[r]].mean() for r in check[whole] if len(own[r])] if left_out.any() else []
+    unseen = min(1.0, max(LEAST_UNSEEN, float(np.quantile(missing, 1 - QUANTILE)) / margin)) if missing else 1.0
+    for r in np.flatnonzero(left_out):  # known from here on
+        seen[own[r]] = True
+    return Model(names, (table * scale).astype(np.float32), (bias * scale).astype(np.float64), margin * min(0.5, floor),
+                 np.packbits(seen), unseen)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -134,12 +191,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class WordScores(dict):
-    """Row of each word in a table of summed class scores and subword counts."""
+    """Row of each word in a table of summed class scores, subword counts, unseen and all 4-grams."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, model: Model):
         super().__init__()
-        self.table, self.new = table, []
-        self.rows = np.zeros((0, table.shape[1] + 1))
+        self.table, self.seen, self.new = model.scores, model.seen, []
+        self.rows = np.zeros((0, self.table.shape[1] + 3))
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
@@ -148,22 +205,25 @@ class WordScores(dict):
 
     def filled(self) -> np.ndarray:
         if self.new:
-            of, bucket = subwords(self.new)
-            n = len(self.new)
+            of, hashes, at = grams(self.new)
+            n, bucket = len(self.new), _bucket(hashes)
             sums = [np.bincount(of, self.table[bucket, c], n) for c in range(self.table.shape[1])]
-            self.rows = np.concatenate([self.rows, np.stack([*sums, np.bincount(of, minlength=n)], axis=1)])
+            unseen = np.bincount(of[at:], 1 - _is_seen(self.seen, _slot(hashes[at:])), n)
+            self.rows = np.concatenate([self.rows, np.stack(
+                [*sums, np.bincount(of, minlength=n), unseen, np.bincount(of[at:], minlength=n)], axis=1)])
             self.new = []
         return self.rows
 
 
 def _predict(shared, text: int, passing: bool):
     def run(batches):
+        free_held()
         model: Model = shared.value
-        words = WordScores(model.scores)
+        words = WordScores(model)
         for batch in batches:
-            for chunk in T.chunks(batch.column(text)):
+            for chunk in T.chunks(batch.column(text), CHUNK_BYTES):
                 if len(words) * (len(model.labels) + 1) > CACHE_CELLS:
-                    words = WordScores(model.scores)
+                    words = WordScores(model)
                 at, letters = [], []
                 for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:]):
                     raw = chunk.data[lo:hi].tobytes()
@@ -172,12 +232,13 @@ def _predict(shared, text: int, passing: bool):
                     letters.append(_LETTER.search(raw.decode("utf-8", "replace")) is not None)
                 rows = words.filled()
                 sums = np.stack([rows[a].sum(axis=0) for a in at])
-                p = _softmax(sums[:, :-1] / np.maximum(sums[:, -1:], 1) + model.bias)
+                p = _softmax(sums[:, :-3] / np.maximum(sums[:, -3:-2], 1) + model.bias)
                 best = p.argmax(axis=1)
                 known = np.array(letters) & bool(model.labels)
                 label = [model.labels[b] if k else "und" for b, k in zip(best, known)]
                 score = np.where(known, p.max(axis=1), 0.0)
-                refused = score < model.reject_below if model.labels else score < 0
+                once = np.stack([rows[np.unique(a), -2:].sum(axis=0) for a in at])
+                refused = ~known | (score < model.reject_below) | too_strange(once[:, 0], once[:, 1], model.unseen_share)
                 part = batch.slice(chunk.first, len(label))
                 if passing:
                     yield part.filter(pa.array(~refused))
@@ -196,14 +257,13 @@ def labelled_sample(docs: DataFrame, usable: Column, per_label: int, total: int,
     ``total``, and never less than one. The counts come from all rows; the sample is cut by a
     hash of the id, so no label's rows meet in one task.
     """
-    pool = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = staged(pool.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"), F.min(draw).alias("_first")), "languages")
+    pool = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"))
+    counts = staged(pool.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")), "languages")
     each = max(least, min(per_label, total // max(1, counts.count())))
-    picked = (pool.join(counts, F.col(lang_col) == F.col("_lang"))
-              .where((draw < F.lit(each) / F.col("_n")) | (draw == F.col("_first")))
-              .select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-              .withColumn("at", F.xxhash64("text")))
+    picked = (pool.join(counts, "lang").where((F.col("draw") < F.lit(each) / F.col("n")) | (F.col("draw") == F.col("first")))
+              .select("text", "lang").withColumn("at", F.xxhash64("text")))
     own = Window.partitionBy("lang").orderBy("at", "text")
     return (picked.withColumn("k", F.row_number().over(own)).where(F.col("k") <= 2 * each)  # repeated ids are drawn together
             .orderBy("at", "lang").select("text", "lang").collect())
@@ -223,8 +283,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, lang_pred, score, rejected) per row, over whole texts.
 
     ``und`` with score 0 for null texts, texts without a letter, and under a model without
-    labels; ``rejected`` says that the calibrated confidence is below the threshold. Rows are
-    independent, so repeated and null ids are kept as they are.
+    labels, all of them rejected; ``rejected`` further says that the calibrated confidence is
+    below its threshold or that too many 4-grams are unknown. Rows are independent, so repeated
+    and null ids are kept as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 floats per language
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -234,7 +295,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns.
 
-    Null texts and texts without a letter go, as do those below the calibrated threshold.
+    Null texts and texts without a letter go, as do those beyond a calibrated threshold.
+    Under a model without labels nothing can be judged, and every row stays.
     """
+    if not model.labels:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_predict(shared, docs.columns.index(text_col), True), docs.schema)
