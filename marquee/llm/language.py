@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import text as T
-from marquee.llm.held import free_held
+from marquee.llm.held import free_held, tidy
 from marquee.runtime import staged
 
 BUCKETS = 1 << 16
@@ -289,7 +289,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 floats per language
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared, 1, False), "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(_predict(shared, 1, False)), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -301,4 +301,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     if not model.labels:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared, docs.columns.index(text_col), True), docs.schema)
+    return docs.mapInArrow(tidy(_predict(shared, docs.columns.index(text_col), True)), docs.schema)

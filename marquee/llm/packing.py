@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import text as T
+from marquee.llm.held import held, tidy
 from marquee.llm.streams import column
 from marquee.runtime import staged
 
 CACHE_WORDS = 500_000
+CHUNK_BYTES = 1 << 20  # of texts tokenised together
 BATCH_WORDS = 64  # words encoded together
 CAPITAL_AND_MARK = re.compile(rb"[A-Z][^\x00-\x7f]*[\xcc\xcd]")  # U+0300 to U+037F begin with CC or CD
 MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -96,9 +97,8 @@ def settled(word: bytes) -> str:
     return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
 
 
-@lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("packing", path), lambda: WordIds(path))
 
 
 def _tokenised(path: str, end_id: int):
@@ -111,7 +111,7 @@ def _tokenised(path: str, end_id: int):
             piece = (batch.column(2)[0].as_py(), batch.column(3)[0].as_py())
             if piece != held:
                 at, row, held = 0, 0, piece
-            for chunk in T.chunks(batch.column(1)):
+            for chunk in T.chunks(batch.column(1), CHUNK_BYTES):
                 texts = (chunk.data[lo:hi].tobytes() for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:]))
                 marked = (chunk.data == 0xCC).any() or (chunk.data == 0xCD).any()
                 found = [folded_words(t) if marked else t.lower().split() for t in texts]
@@ -176,7 +176,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
             found = docs.select(*rows, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         except AnalysisException:
             pass  # not read from files: its partitions are in order
-    return staged(found.mapInArrow(_tokenised(tokenizer, end_id), "doc_id long, file string, block long, part long, row long, "
+    return staged(found.mapInArrow(tidy(_tokenised(tokenizer, end_id)), "doc_id long, file string, block long, part long, row long, "
                                                                   "start long, n long, ids binary"), "tokens")
 
 
@@ -200,5 +200,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     offsets = totals.select(*piece, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     placed = tokens.join(F.broadcast(offsets), piece)  # one row per partition of the input, or piece of its files
     return (placed.select("doc_id", (F.col("start") + F.col("offset")).alias("base"), "n", "ids")
-            .mapInArrow(_cut(window, dtype), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+            .mapInArrow(tidy(_cut(window, dtype)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                              "sequence_id long, offset long"))

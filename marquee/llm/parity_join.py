@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import text as T
 from marquee.llm.components import connected_components
+from marquee.llm.held import tidy
 from marquee.llm.streams import column, dealt, group_bounds, keyed_groups
 from marquee.runtime import staged
 
@@ -29,7 +30,9 @@ SKETCH_WORDS = 16       # 64-bit words of the folded sketch
 FEW = 2                 # a part with fewer shingles than this says too little to be a key
 BLOCK_DOCS = 512        # documents, and
 BLOCK_SHINGLES = 1 << 22  # shingles of one block in a verification task
+CHUNK_BYTES = 1 << 20   # of texts shingled together
 RUN_BYTES = 1 << 20     # packed text of small families verified together
+SKETCHED = 64           # texts whose sketches are made together
 HUBS = 8                # about so many members of a large family visit all its blocks
 
 
@@ -88,7 +91,7 @@ def _keys(values: np.ndarray, percent: int) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, shingle hashes, offsets) of each chunk of a batch."""
-    for chunk in T.chunks(batch.column(1)):
+    for chunk in T.chunks(batch.column(1), CHUNK_BYTES):
         found = T.words(chunk)
         rows, values = T.shingles(T.word_hashes(chunk, found), found, size)
         values, bounds = T.distinct_per_text(rows, values, len(found.count))
@@ -200,7 +203,7 @@ def _packed_texts(batches):
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         ids = column(batch, "doc_id")
-        for chunk in T.chunks(batch.column(batch.schema.get_field_index("text"))):
+        for chunk in T.chunks(batch.column(batch.schema.get_field_index("text")), CHUNK_BYTES):
             n = len(chunk.bounds) - 1
             packed = [squeeze.compress(chunk.data[lo:hi].tobytes()) for lo, hi in zip(chunk.bounds[:-1], chunk.bounds[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -214,7 +217,7 @@ def _unpacked(packed: pa.ChunkedArray, open_text: zstandard.ZstdDecompressor) ->
         for i in range(len(part)):
             held.append(open_text.decompress(part[i].as_buffer()))
             size += len(held[-1])
-            if size >= T.CHUNK_BYTES:
+            if size >= CHUNK_BYTES:
                 yield held
                 held, size = [], 0
     if held:
@@ -257,8 +260,9 @@ def _true_links(table: pa.Table, bounds: np.ndarray, size: int, percent: int) ->
     values, offsets = _unpacked_sets(table.column("packed"), size)
     ids, block, comp = (table.column(c).to_numpy() for c in ("doc_id", "block", "comp"))
     first, second = table.column("b1").to_numpy(), table.column("b2").to_numpy()
-    sketches = _sketches(values, offsets).view(np.uint64)
     n = np.diff(offsets)
+    sketches = np.concatenate([_sketches(values[part[0]:part[-1]], part - part[0]) for lo in range(0, len(n), SKETCHED)
+                               for part in [offsets[lo:lo + SKETCHED + 1]]]).view(np.uint64)
     out = []
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         tree = np.unique(comp[lo:hi], return_inverse=True)[1]
@@ -294,7 +298,7 @@ def _family_links(families: DataFrame, heads: DataFrame, texts: DataFrame, size:
     other, and pairs known to be linked are not compared again.
     """
     def verified(spread: DataFrame) -> DataFrame:
-        return dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(_verified(size, percent), "a long, b long")
+        return dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(tidy(_verified(size, percent)), "a long, b long")
 
     members = families.join(heads.select("doc_id", "n"), "doc_id")
     shape = (members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
@@ -344,19 +348,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc_id is not null")
-    sums = staged(named.mapInArrow(_summaries(size), "doc_id long, n long, d1 long, d2 long, sketch binary"), "parity")
-    postings = dealt(named.mapInArrow(_postings(size, percent), "key long, doc_id long"), ["key"], ["doc_id"])
-    shared = staged(postings.mapInArrow(_shared, "key long, doc_id long"), "parity-keys")
+    sums = staged(named.mapInArrow(tidy(_summaries(size)), "doc_id long, n long, d1 long, d2 long, sketch binary"), "parity")
+    postings = dealt(named.mapInArrow(tidy(_postings(size, percent)), "key long, doc_id long"), ["key"], ["doc_id"])
+    shared = staged(postings.mapInArrow(tidy(_shared), "key long, doc_id long"), "parity-keys")
 
     copies = sums.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     same = staged(sums.where("n > 0").join(copies, ["d1", "d2", "n"]).select("doc_id", "rep", "n", "sketch"), "parity-reps")
     heads = same.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch")
     met = dealt(shared.join(heads, "doc_id").select("key", "doc_id", "n", "sketch"), ["key"], ["n", "doc_id"])
-    near = met.mapInArrow(_bucket_links(percent), "a long, b long")
+    near = met.mapInArrow(tidy(_bucket_links(percent)), "a long, b long")
     families = staged(connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family")),
                       "parity-families")
 
-    texts = named.mapInArrow(_packed_texts, "doc_id long, packed binary")
+    texts = named.mapInArrow(tidy(_packed_texts), "doc_id long, packed binary")
     true = _family_links(families, heads, texts, size, percent)
     links = true.unionByName(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(links)

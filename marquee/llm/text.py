@@ -43,7 +43,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_POWERS.get("p", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, 1 << 20, 2 * len(_POWERS.get("p", ())))
         for key, base in (("p", _MULT), ("q", pow(_MULT, -1, 1 << 64))):
             out = np.full(size, base, np.uint64)
             out[0] = 1
