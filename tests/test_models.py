@@ -334,3 +334,22 @@ def test_fit_returns_its_best_epoch(spark):
     gcn = pairwise.lightgcn_fit(adj, nodes, sampler, 20, dim=4, layers=2, samples=300, epochs=2, lr=0.2, batches=2, block=4, validation=held)
     assert gcn.val_history[gcn.params["best_epoch"]] == min(gcn.val_history) < gcn.val_history[0]
     assert pairwise.bpr_loss(held, gcn.users, gcn.items).first().loss == pytest.approx(min(gcn.val_history))
+
+
+def test_top_k_dot_stores_each_side_once(spark):
+    """However many blocks there are, no row is repeated per block; bounds, gaps and seen copies change no list."""
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(30, 4)) * rng.choice([0, 0.1, 3], (30, 1))
+    q = rng.normal(size=(50, 4)) * rng.choice([0, 0.01, 1, 20], (50, 1))
+    bu, bi = rng.normal(size=30), np.where(rng.random(50) < 0.1, np.nan, rng.choice([-5.0, 0.0, 4.0], 50))
+    users = spark.createDataFrame([(i, [float(x) for x in v], float(b)) for i, (v, b) in enumerate(zip(p, bu))], "user_idx int, vec array<double>, bias double")
+    items = spark.createDataFrame([(i, [float(x) for x in v], float(b)) for i, (v, b) in enumerate(zip(q, bi))], "movie_idx int, vec array<double>, bias double")
+    pairs = [(u, m) for u in range(30) for m in range(50) if rng.random() < 0.3]
+    seen = np.zeros((30, 50), bool)
+    seen[tuple(np.array(pairs).T)] = True
+    top = score.top_k_dot(users, items, spark.createDataFrame(pairs, "user_idx int, movie_idx int"), 6, 0.25, 4, 3)
+    assert "Generate" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert listed(top) == expected_top(p @ q.T + bu[:, None] + bi + 0.25, seen, 6)
+    twice = score.top_k_dot(users.where("user_idx = 0"), items.where("movie_idx = 1").unionAll(items.where("movie_idx = 1")),
+                            spark.createDataFrame([(0, 1)], "user_idx int, movie_idx int"), 6)
+    assert twice.count() == 0
