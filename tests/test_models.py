@@ -353,3 +353,15 @@ def test_top_k_dot_stores_each_side_once(spark):
     twice = score.top_k_dot(users.where("user_idx = 0"), items.where("movie_idx = 1").unionAll(items.where("movie_idx = 1")),
                             spark.createDataFrame([(0, 1)], "user_idx int, movie_idx int"), 6)
     assert twice.count() == 0
+
+
+def test_ease_gram_keeps_only_its_cells(spark):
+    """Blocks without common users are not stored, and a rating is not repeated per block."""
+    train = spark.createDataFrame(
+        [(0, 0, 1.0), (0, 9, 2.0), (1, 5, 3.0), (2, 9, 4.0)], "user_idx int, movie_idx int, rating_centered double")
+    gram = ease.ease_gram(train, 10, 2)
+    blocks = {(r.bi, r.bj): (list(r["at"]), list(r.cells)) for r in gram.collect()}
+    assert blocks.pop((0, 4)) == ([1], [2.0])
+    assert blocks == {(i, i): ([0, 3], [float(i == 0), {2: 9.0, 4: 20.0}.get(i, 0.0)]) for i in range(5)}
+    ridge = {(r.src_idx, r.dst_idx): r.value for r in ease.gram_cells(gram, 10, 0.5, 2).collect()}
+    assert ridge[1, 1] == 0.5 and ridge[9, 9] == 20.5 and ridge[9, 0] == 2.0
