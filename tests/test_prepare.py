@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,17 @@ def test_kcore_peels_a_chain_and_keeps_null_keys(spark):
     trace = []
     got = {(r.user_id, r.movie_id) for r in prepare.kcore_filter(df, 2, 2, trace).collect()}
     assert got == alive and sum(t["rows_dropped"] for t in trace) == len(rows) - len(alive)
+
+
+def test_words_and_edges_without_a_regex(spark):
+    """Words and trimming as the whitespace class says, by string functions alone."""
+    rng = random.Random(4)
+    chars = [*S.WHITESPACE, *"ab​é\U0001F600", *"cdefgh"]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(40))) for _ in range(500)] + ["x", " ", "\n", "a \n"]
+    space = f"[{re.escape(S.WHITESPACE)}]"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", S.word_count(F.col("t")).alias("n"), S.stripped(F.col("t")).alias("s"))
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in rows.collect():
+        assert r.n == len(re.findall(space.replace("[", "[^", 1) + "+", r.t))
+        assert r.s == re.sub(f"^{space}+|{space}+$", "", r.t)
