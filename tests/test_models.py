@@ -362,3 +362,10 @@ def test_ease_gram_keeps_only_its_cells(spark):
     assert blocks == {(i, i): ([0, 3], [float(i == 0), {2: 9.0, 4: 20.0}.get(i, 0.0)]) for i in range(5)}
     ridge = {(r.src_idx, r.dst_idx): r.value for r in ease.gram_cells(gram, 10, 0.5, 2).collect()}
     assert ridge[1, 1] == 0.5 and ridge[9, 9] == 20.5 and ridge[9, 0] == 2.0
+
+
+def test_a_task_sends_one_partial_sum_per_target(spark):
+    edges = spark.createDataFrame([(s, d, 1.0) for s in range(40) for d in range(5)], "src int, dst int, w double")
+    emb = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "node int, vec array<double>")
+    rows = blocks.partial_products(blocks.sliced(edges, 8), emb, 2).collect()  # five blocks of sources
+    assert sorted((r.node, *r.vec) for r in rows) == [(d, 40.0, 780.0) for d in range(5)]
