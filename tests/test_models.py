@@ -369,3 +369,11 @@ def test_a_task_sends_one_partial_sum_per_target(spark):
     emb = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "node int, vec array<double>")
     rows = blocks.partial_products(blocks.sliced(edges, 8), emb, 2).collect()  # five blocks of sources
     assert sorted((r.node, *r.vec) for r in rows) == [(d, 40.0, 780.0) for d in range(5)]
+
+
+def test_als_half_step_shuffles_no_vector_per_rating(spark):
+    train, _ = ratings(spark, 20, 15)
+    fixed = spark.createDataFrame([(i, [1.0, float(i)], 0.1) for i in range(15)], "movie_idx int, vec array<double>, bias double")
+    present = spark.createDataFrame([(i, [0.0, 0.0], 0.0) for i in range(20)], "user_idx int, vec array<double>, bias double")
+    out = als.als_half_step(train, "user_idx", "movie_idx", fixed, present, 2, 0.1)
+    assert "hashpartitioning(movie_idx" not in out._jdf.queryExecution().executedPlan().toString()
