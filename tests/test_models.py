@@ -377,3 +377,29 @@ def test_als_half_step_shuffles_no_vector_per_rating(spark):
     present = spark.createDataFrame([(i, [0.0, 0.0], 0.0) for i in range(20)], "user_idx int, vec array<double>, bias double")
     out = als.als_half_step(train, "user_idx", "movie_idx", fixed, present, 2, 0.1)
     assert "hashpartitioning(movie_idx" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predict_sends_no_vector_per_pair(spark):
+    """Pairs of several ranges and panels, ids given twice, null numbers and unequal lengths, against a plain join."""
+    pairs = spark.createDataFrame(
+        [(u, m, f"{u}-{m}") for u in (0, 1, 5000, 9000, None) for m in (0, 3, 4, 5, 4095, 4096, 9000, None)] + [(1, 3, "again")],
+        "user_idx int, movie_idx int, note string")
+    users = spark.createDataFrame(
+        [(0, [1.0, 2.0], 0.5), (1, [0.5, -1.0], 1.0), (1, [3.0, 0.0], 0.0), (5000, None, 0.0), (7, [1.0, 1.0], 0.0), (None, [1.0, 1.0], 0.0)],
+        "user_idx int, vec array<double>, bias double")
+    items = spark.createDataFrame(
+        [(0, [2.0, 1.0], 0.0), (3, [1.0, None], 0.0), (4, [1.0], 0.0), (5, [1.0, 4.0], None), (4095, [0.0, 1.0], 0.25), (4096, [1.0, 1.0], -1.0), (4096, [2.0, 1.0], 2.0)],
+        "movie_idx int, vec array<double>, bias double")
+    i = items.select("movie_idx", F.col("vec").alias("q"), F.col("bias").alias("bi"))
+    wanted = pairs.join(users, "user_idx").join(i, "movie_idx").select(
+        "movie_idx", "user_idx", "note", (0.125 + F.col("bias") + F.col("bi") + V.dot(F.col("vec"), F.col("q"))).alias("score"))
+    found = score.predict(pairs, users, items, 0.125)
+
+    def key(row):
+        return tuple((x is None, x or 0) for x in row)
+
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, wanted.collect()), key=key)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "vec" not in plan and "user_idx#" in plan  # the pairs meet stored panels, not a table of vectors
+    cosines = content.content_score(pairs, users, items)
+    assert cosines.columns == [*pairs.columns, "score"] and cosines.where("score is null").isEmpty()
