@@ -153,3 +153,30 @@ def test_words_and_edges_without_a_regex(spark):
     for r in rows.collect():
         assert r.n == len(re.findall(space.replace("[", "[^", 1) + "+", r.t))
         assert r.s == re.sub(f"^{space}+|{space}+$", "", r.t)
+
+
+def test_last_row_is_kept_without_a_second_copy_of_the_order(spark):
+    from marquee.operators import clean
+
+    rows = [("a", 1, 3.0, 10, 1), ("a", 1, 4.0, 10, 2), ("a", 1, 5.0, 9, 3), ("b", 1, 1.0, None, 1), ("b", 1, 2.0, None, 0), (None, 2, 0.5, 1, 1)]
+    log = spark.createDataFrame(rows, "user_id string, movie_id int, rating double, timestamp bigint, line int")
+    last = clean.dedup_keep_last(log, ["user_id", "movie_id"], ["timestamp", "line"])
+    assert last.columns == log.columns
+    assert {tuple(r) for r in last.collect()} == {rows[1], rows[3], rows[5]}
+    assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_means_are_taken_before_the_joins_with_the_maps(spark, monkeypatch):
+    """Rows without an id have no index and count for no mean; the means read no indexed table."""
+    from marquee.plans import preprocess as plan
+
+    taken, mean_center = [], plan.prepare.mean_center
+    monkeypatch.setattr(plan.prepare, "mean_center", lambda df, train: taken.append(train) or mean_center(df, train))
+    rows = [(u, m, float(u + m), t) for u in (1, 2, 3) for t, m in enumerate((5, 6, 7, 8))] + [(1, None, 90.0, 0), (None, 5, 90.0, 0)]
+    ratings = spark.createDataFrame([(None if u is None else f"ML_{u}", m, r, t) for u, m, r, t in rows],
+                                    "user_id string, movie_id int, rating double, timestamp bigint")
+    found = plan.prepare_interactions(ratings, 1, 1).interactions.toPandas()
+    assert len(found) == 12 and "movie_idx" not in taken[0].columns
+    for _, own in found.groupby("user_id"):
+        mean = own[own["split"] == "train"]["rating"].mean()
+        assert ((own["rating"] - mean - own["rating_centered"]).abs() < 1e-9).all()
