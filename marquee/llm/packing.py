@@ -69,11 +69,14 @@ class WordIds(dict):
         return np.array(ids, self.dtype).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the new words, many at a time."""
+        """Encode the new words, many at a time.
+
+        Words are looked up one by one; a set's difference with this class would go through all kept words.
+        """
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = {self.parts(w)[0] for w in words.difference(self)}
-        new = [w for w in new.difference(self) if (w.isalpha() if w.isascii() else settled(w).isalpha())]
+        new = {self.parts(w)[0] for w in words if w not in self}
+        new = [w for w in new if w not in self and (w.isalpha() if w.isascii() else settled(w).isalpha())]
         width = np.dtype(self.dtype).itemsize
         for lo in range(0, len(new), BATCH_WORDS):
             part = new[lo:lo + BATCH_WORDS]

@@ -39,3 +39,15 @@ def test_every_letter_before_a_mark():
     for lo in range(0, len(letters), 200):
         text = " ".join(f"a{x}, {x}." for x in letters[lo:lo + 200])
         check(words, [text])
+
+
+def test_new_words_are_found_without_going_through_the_kept_ones():
+    class Kept(WordIds):
+        def __iter__(self):
+            raise AssertionError("all kept words were read")
+
+    words = Kept(WORD_TOKENIZER)
+    for text in ("many words, kept before", "many new words, again"):
+        raw = folded_words(text.encode())
+        words.learn(set(raw))
+        assert b"".join(words[w] for w in raw) == words.encode(raw)
