@@ -12,6 +12,7 @@ Lines of one distinct token (one word over and over, say) are grouped by it with
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from marquee.runtime import staged
 WORDS = 5
 BITS = 14
 BUCKETS = 1 << BITS
-SIEVE_BITS = 19      # a sieve has 2**19 rows of 64 bits at most
+SIEVE_BITS = 20      # a sieve has 2**20 words of 64 bits at most,
+SIEVE_ROW = 6        # 2**6 of them in a row
 STEP = 4
 LINE = ["key", "line_no"]
 
@@ -76,7 +78,7 @@ def _ranks(lines: DataFrame) -> Column:
     rank = [0] * BUCKETS
     for i, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
         rank[bucket] = (i - BUCKETS // 2) * (1 << 64 - BITS)
-    return F.expr(f"array({','.join(f'bigint({r})' for r in rank)})")
+    return F.lit(np.array(rank, np.int64))  # one literal: 16,384 of them took the driver's memory, plan by plan
 
 
 def _need(a, b, percent: int) -> Column:
@@ -93,9 +95,14 @@ def _sifted(df: DataFrame, wanted: DataFrame, on: list[str] = LINE) -> DataFrame
     code = F.xxhash64(*on)
     slot, bit = code.bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)), F.shiftrightunsigned(code, 64 - 6).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    sieve = wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(one).alias("_bits"))
-    return (df.withColumn("_slot", slot).withColumn("_bit", one).join(F.broadcast(sieve), "_slot")
-            .where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_slot", "_bit", "_bits"))
+    row, place = F.shiftright(slot, SIEVE_ROW), slot.bitwiseAND(F.lit((1 << SIEVE_ROW) - 1)).cast("int")
+    words = wanted.groupBy(row.alias("_row"), place.alias("_place")).agg(F.bit_or(one).alias("_word"))
+    held = F.map_from_entries(F.collect_list(F.struct("_place", "_word"))).alias("_held")
+    places = F.sequence(F.lit(0), F.lit((1 << SIEVE_ROW) - 1))
+    sieve = words.groupBy("_row").agg(held).select(
+        "_row", F.transform(places, lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0).cast("bigint"))).alias("_words"))
+    return (df.withColumn("_row", row).withColumn("_place", place).withColumn("_bit", one).join(F.broadcast(sieve), "_row")
+            .where(F.get("_words", F.col("_place")).bitwiseAND(F.col("_bit")) != 0).drop("_row", "_place", "_bit", "_words"))
 
 
 def _copies(table: DataFrame) -> DataFrame:
