@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.ids import keyed_texts
 from marquee.llm.quality import SPACE, split_words
-from marquee.runtime import staged
+from marquee.runtime import passing, staged
 
 WORDS = 5
 BITS = 14
@@ -130,7 +130,7 @@ def _shared_tokens(lines: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def removed_lines(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """((key, line_no, n) of all lines with a word, (key, line_no) of the lines to remove)."""
+    """((key, line_no, n) of all lines with a word, (key, line_no) of the lines to remove), from stage tables."""
     spark = rows.sparkSession
     rank = _ranks(_lines(rows))
     ordered = F.sort_array(F.transform("tokens", lambda t: rank[_bucket(t)].bitwiseOR(F.shiftrightunsigned(t, BITS))))
@@ -181,9 +181,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     times or more is one token too and matches every other such line of that word. Words are lower-cased.
     """
     rows = keyed_texts(docs, id_col, text_col)
-    lines, removed = removed_lines(rows, percent)
-    gone = removed.groupBy("key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    total = lines.groupBy("key").agg(F.count("*").alias("n_lines"))
+    with passing(docs.sparkSession) as kept:
+        lines, removed = removed_lines(rows, percent)
+        gone = kept(removed.groupBy("key").agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "gone-lines")
+        total = kept(lines.groupBy("key").agg(F.count("*").alias("n_lines")), "line-counts")
     return (rows.select("key", "doc_id").join(total, "key", "left").join(gone, "key", "left")
             .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
                     F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
@@ -196,8 +197,9 @@ def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     Null texts stay null. A text that loses all its lines becomes empty.
     """
     rows = keyed_texts(docs, id_col, text_col, *[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)])
-    _, removed = removed_lines(rows, percent)
-    gone = removed.groupBy("key").agg(F.collect_list("line_no").alias("_gone"))
+    with passing(docs.sparkSession) as kept:
+        _, removed = removed_lines(rows, percent)
+        gone = kept(removed.groupBy("key").agg(F.collect_list("line_no").alias("_gone")), "gone-lines")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     joined = rows.join(gone, "key", "left").withColumn("_text", text)

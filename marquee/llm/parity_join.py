@@ -24,7 +24,7 @@ from marquee.llm import text as T
 from marquee.llm.components import connected_components
 from marquee.llm.held import tidy
 from marquee.llm.streams import column, dealt, group_bounds, keyed_groups
-from marquee.runtime import staged
+from marquee.runtime import passing, staged
 
 SKETCH_WORDS = 16       # 64-bit words of the folded sketch
 FEW = 2                 # a part with fewer shingles than this says too little to be a key
@@ -33,6 +33,7 @@ BLOCK_SHINGLES = 1 << 22  # shingles of one block in a verification task
 CHUNK_BYTES = 1 << 20   # of texts shingled together
 RUN_BYTES = 1 << 20     # packed text of small families verified together
 SKETCHED = 64           # texts whose sketches are made together
+WIDEST = 1 << 16        # bits of the widest sketch
 HUBS = 8                # about so many members of a large family visit all its blocks
 
 
@@ -283,6 +284,70 @@ def _true_links(table: pa.Table, bounds: np.ndarray, size: int, percent: int) ->
     return out
 
 
+def _wide(values: np.ndarray) -> np.ndarray:
+    """A parity sketch of a text with at least two bits per shingle, up to ``WIDEST``.
+
+    Folding it in half, by XOR, gives the sketch of half the width.
+    """
+    width = min(WIDEST, max(64 * SKETCH_WORDS, 1 << int(2 * len(values)).bit_length()))
+    bit = (T.mix(values + np.uint64(0x9FB21C651E98DF25)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _widely_sketched(size: int):
+    """Wide sketches and sizes beside the packed texts."""
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("packed")
+            values, offsets = _unpacked_sets(pa.chunked_array([batch.column(at)]), size)
+            wide = [_wide(values[lo:hi]).tobytes() for lo, hi in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("doc_id")), batch.column(at), pa.array(np.diff(offsets)), pa.array(wide, pa.binary())],
+                ["doc_id", "packed", "n", "wide"])
+    return run
+
+
+def _candidates(percent: int):
+    """The documents of each block pair that may link with one of another known component there, by their wide sketches."""
+    keys = ["family", "b1", "b2"]
+
+    def run(batches):
+        for table in keyed_groups(batches, keys):
+            bounds = group_bounds(table, keys)
+            ids, block, comp, n = (table.column(c).to_numpy() for c in ("doc_id", "block", "comp", "n"))
+            columns = [table.column(k).to_numpy() for k in keys]
+            sketches = [np.frombuffer(x.as_buffer(), np.uint64) for part in table.column("wide").chunks for x in part]
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                across = columns[1][lo] != columns[2][lo]
+                found = _may_link(sketches[lo:hi], n[lo:hi], comp[lo:hi], block[lo:hi] if across else np.arange(hi - lo), percent)
+                if found.any():
+                    named = np.unique(ids[lo:hi][found])
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array(np.full(len(named), c[lo])) for c in columns], pa.array(named)], [*keys, "doc_id"])
+    return run
+
+
+def _may_link(sketches: list[np.ndarray], n: np.ndarray, comp: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
+    """Which documents have another one of another component and block whose size and sketch allow a link."""
+    found, widths = np.zeros(len(n), bool), np.array([len(x) for x in sketches])
+    for width in np.unique(widths):  # the pairs whose narrower sketch has this width
+        rows = np.flatnonzero(widths >= width)
+        folded = np.stack([np.bitwise_xor.reduce(sketches[i].reshape(-1, width), axis=0) for i in rows])
+        for i in np.flatnonzero(widths[rows] == width):
+            mine = rows[i]
+            others = (widths[rows] > width) | (np.arange(len(rows)) > i)
+            others &= (comp[rows] != comp[mine]) & (block[rows] != block[mine])
+            lo, hi = np.minimum(n[mine], n[rows]), np.maximum(n[mine], n[rows])
+            others = np.flatnonzero(others & (percent * hi <= 100 * lo))
+            for at in range(0, len(others), SKETCHED):
+                some = others[at:at + SKETCHED]
+                apart = np.bitwise_count(folded[some] ^ folded[i]).sum(axis=1, dtype=np.int64)
+                close = some[apart <= largest_difference(lo[some], hi[some], percent)]
+                found[rows[close]] = True
+                found[mine] |= len(close) > 0
+    return found
+
+
 def _blocks(docs: str, shingles: str):
     """Blocks that hold so many documents and shingles."""
     return F.greatest(F.lit(1), F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
@@ -295,7 +360,8 @@ def _family_links(families: DataFrame, heads: DataFrame, texts: DataFrame, size:
     hubs that visit every block of their family, so each text travels once. That settles a
     family whose members all come out linked. In the others the largest component stays
     apart: its blocks meet only the blocks of the remaining members, which also meet each
-    other, and pairs known to be linked are not compared again.
+    other, and pairs known to be linked are not compared again. Wide sketches meet first, and
+    a text travels only to the block pairs where its sketch allows a link.
     """
     def verified(spread: DataFrame) -> DataFrame:
         return dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(tidy(_verified(size, percent)), "a long, b long")
@@ -329,10 +395,16 @@ def _family_links(families: DataFrame, heads: DataFrame, texts: DataFrame, size:
         return first
     own = F.expr("cast(if(in_main, pmod(xxhash64(doc_id), p), p + pmod(xxhash64(doc_id), q)) as int)")
     meets = F.expr("explode(sequence(if(in_main, p, 0), p + q - 1))")
-    spread = left.withColumn("block", own).join(texts, "doc_id").withColumn("other", meets).select(
+    opened = staged(left.select("doc_id").join(texts, "doc_id").mapInArrow(
+        tidy(_widely_sketched(size)), "doc_id long, packed binary, n long, wide binary"), "parity-wide")
+    spread = left.withColumn("block", own).join(opened.select("doc_id", "n", "wide"), "doc_id").withColumn("other", meets).select(
         "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-        "block", "doc_id", "comp", "packed")
-    return first.unionByName(verified(spread))
+        "block", "doc_id", "comp", "n", "wide")
+    chosen = staged(dealt(spread, ["family", "b1", "b2"], ["doc_id"]).mapInArrow(
+        tidy(_candidates(percent)), "family long, b1 int, b2 int, doc_id long"), "parity-candidates")
+    members = left.select("family", "doc_id", "comp", own.alias("block"))
+    return first.unionByName(verified(chosen.join(members, ["family", "doc_id"]).join(opened.select("doc_id", "packed"), "doc_id").select(
+        "family", "b1", "b2", "block", "doc_id", "comp", "packed")))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -348,24 +420,30 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc_id is not null")
+    with passing(docs.sparkSession) as kept:
+        sums, links = _jaccard_links(named, size, percent)
+        groups = connected_components(links)
+        found = kept(sums.select("doc_id", F.col("n").alias("n_shingles"))
+                     .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                     .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "parity-groups")
+    return found.unionByName(docs.where("doc_id is null").select(
+        "doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _jaccard_links(named: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, ...) per text and (a, b) links that span the groups, from stage tables."""
     sums = staged(named.mapInArrow(tidy(_summaries(size)), "doc_id long, n long, d1 long, d2 long, sketch binary"), "parity")
-    postings = dealt(named.mapInArrow(tidy(_postings(size, percent)), "key long, doc_id long"), ["key"], ["doc_id"])
-    shared = staged(postings.mapInArrow(tidy(_shared), "key long, doc_id long"), "parity-keys")
-
     copies = sums.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     same = staged(sums.where("n > 0").join(copies, ["d1", "d2", "n"]).select("doc_id", "rep", "n", "sketch"), "parity-reps")
     heads = same.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch")
-    met = dealt(shared.join(heads, "doc_id").select("key", "doc_id", "n", "sketch"), ["key"], ["n", "doc_id"])
-    near = met.mapInArrow(tidy(_bucket_links(percent)), "a long, b long")
-    families = staged(connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family")),
-                      "parity-families")
+    with passing(named.sparkSession) as kept:
+        postings = dealt(named.mapInArrow(tidy(_postings(size, percent)), "key long, doc_id long"), ["key"], ["doc_id"])
+        shared = staged(postings.mapInArrow(tidy(_shared), "key long, doc_id long"), "parity-keys")
+        met = dealt(shared.join(heads, "doc_id").select("key", "doc_id", "n", "sketch"), ["key"], ["n", "doc_id"])
+        near = met.mapInArrow(tidy(_bucket_links(percent)), "a long, b long")
+        families = kept(connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family")),
+                        "parity-families")
 
     texts = named.mapInArrow(tidy(_packed_texts), "doc_id long, packed binary")
     true = _family_links(families, heads, texts, size, percent)
-    links = true.unionByName(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    groups = connected_components(links)
-    return (sums.select("doc_id", F.col("n").alias("n_shingles"))
-            .join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-            .unionByName(docs.where("doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"),
-                                                             F.col("doc_id").alias("component_id"))))
+    return sums, true.unionByName(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
