@@ -352,6 +352,23 @@ def test_top_k_dot_stores_each_side_once(spark):
     assert listed(top) == expected_top(p @ q.T + bu[:, None] + bi + 0.25, seen, 6)
 
 
+def test_top_k_dot_takes_many_user_blocks_through_the_movies_at_once(spark, monkeypatch):
+    """A task holds several user blocks, and a negative or missing index changes nothing for the others."""
+    monkeypatch.setattr(score, "task_slots", lambda _: 1)
+    rng = np.random.default_rng(6)
+    p, q = rng.normal(size=(30, 3)), rng.normal(size=(25, 3)) * rng.choice([0, 1], (25, 1))
+    users = spark.createDataFrame([(i - 4, [float(x) for x in v], 0.0) for i, v in enumerate(p)] + [(None, [0.0] * 3, 0.0)],
+                                  "user_idx int, vec array<double>, bias double")
+    items = spark.createDataFrame([(i, [float(x) for x in v], 0.0) for i, v in enumerate(q)], "movie_idx int, vec array<double>, bias double")
+    seen = spark.createDataFrame([(u - 4, m) for u in range(30) for m in range(u % 5, 25, 5)], "user_idx int, movie_idx int")
+    blocks = score._user_blocks(users.where("user_idx >= 0").selectExpr("user_idx", "vec as user_vec", "bias as user_bias"), seen, 4)
+    assert blocks.rdd.getNumPartitions() == 3  # 7 blocks
+    assert blocks.where("ub is not null").count() == 7
+    mask = np.array([[m % 5 == u % 5 for m in range(25)] for u in range(30)])
+    want = expected_top(p @ q.T, mask, 6)
+    assert listed(score.top_k_dot(users, items, seen, 6, 0.0, 4, 3)) == {u - 4: top for u, top in want.items()}
+
+
 def test_ease_gram_keeps_only_its_cells(spark):
     """Blocks without common users are not stored, and a rating is not repeated per block."""
     train = spark.createDataFrame(
